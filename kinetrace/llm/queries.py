@@ -6,10 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinetrace.llm import decontaminate, language_id
+from kinetrace.llm.decontaminate import op2_benchmark_decontamination
+from kinetrace.llm.language_id import op5_language_id
 from kinetrace.llm.near_dedup import op6_near_dedup
+from kinetrace.llm.packing import op1_best_fit_packing
+from kinetrace.llm.secret_scan import op8_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op5_language_id": op5_language_id,
     "op6_near_dedup": op6_near_dedup,
+    "op8_secret_scan": op8_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others are sequential, heuristic or made of hashes; tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_benchmark_decontamination": decontaminate.SQL,
+    "op5_language_id": language_id.SQL,
+}
