@@ -22,11 +22,12 @@ document rows give repeated pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetrace.llm.textkernel import shingles, words
@@ -159,16 +160,18 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     """``docs`` without the rows that contain an item; all columns stay, nothing is shuffled. Null texts stay."""
     spark = docs.sparkSession
     for _, sets in item_slices(items, "item_id", "text"):
-        known = spark.sparkContext.broadcast(ItemIndex(sets, threshold))
+        docs = docs.where(_clean(spark.sparkContext.broadcast(ItemIndex(sets, threshold)))(F.lower(F.col(text_col))))
+    return docs
 
-        def clean(it: Iterator[pa.Array], known=known) -> Iterator[pa.Array]:
-            for texts in it:
-                keep = np.ones(len(texts), dtype=bool)
-                keep[[f[0] for f in known.value.find(texts)]] = False
-                yield pa.array(keep)
 
-        docs = docs.where(F.arrow_udf(clean, "boolean").asNondeterministic()(F.lower(F.col(text_col))))
-    return docs
+def _clean(known: Broadcast) -> Callable[[Column], Column]:
+    def clean(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in it:
+            keep = np.ones(len(texts), dtype=bool)
+            keep[[f[0] for f in known.value.find(texts)]] = False
+            yield pa.array(keep)
+
+    return F.arrow_udf(clean, "boolean").asNondeterministic()
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
