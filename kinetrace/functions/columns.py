@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 
 
 def rounded(c: Column | str, digits: int) -> Column:
-    """Nearest multiple of 10^-digits, as a double that is never -0.0."""
-    scale = F.lit(float(10**digits))
-    return F.rint((F.col(c) if isinstance(c, str) else c) * scale) / scale + F.lit(0.0)
+    """Nearest multiple of 10^-digits, halves away from zero, as a double that is never -0.0.
+
+    Values too large to have a fraction at that scale stay as they are.
+    """
+    c, scale = F.col(c) if isinstance(c, str) else c, F.lit(float(10**digits))
+    big = F.abs(c) * scale
+    near = F.signum(c) * F.floor(big + F.lit(0.5)).cast("double") / scale + F.lit(0.0)
+    return F.when(big < F.lit(4.5e15), near).otherwise(c)
 
 
 def finite(c: Column | str) -> Column:

@@ -25,8 +25,8 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
 
 def classify(df: DataFrame, means: DataFrame, key: str, label: str, vector: str) -> DataFrame:
     """(key, label, predicted): the centroid of the largest cosine, the lowest label of equals. There is a centroid a label."""
-    m = means.select(F.col(label).alias("candidate"), "vec")
-    scored = df.crossJoin(m).select(key, label, "candidate", rounded(cosine(F.col(vector), F.col("vec")), 9).alias("score"))
+    m = means.select(F.col(label).alias("candidate"), F.col("vec").alias("_mean"))
+    scored = df.crossJoin(m).select(key, label, "candidate", rounded(cosine(F.col(vector), F.col("_mean")), 9).alias("score"))
     best = scored.groupBy(key, label).agg(F.max_by(F.col("candidate"), F.struct("score", -F.col("candidate"))).alias("predicted"))
     return best
 

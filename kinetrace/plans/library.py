@@ -134,9 +134,9 @@ def _features_sql(src: str, x: str) -> str:
 
 
 _SEARCH_SQL = f"""WITH {PATHS_SQL}, n AS (SELECT traj_id, count(*) AS n FROM p GROUP BY traj_id),
-at AS (SELECT traj_id, t, t * (n - 1) / 95.0::DOUBLE AS at FROM n CROSS JOIN (SELECT unnest(range(0, 96)) AS t)),
-lib AS (SELECT at.traj_id, t AS frame, a.x0 + (at - floor(at)) * (coalesce(b.x0, a.x0) - a.x0) AS x0, a.x1 + (at - floor(at)) * (coalesce(b.x1, a.x1) - a.x1) AS x1
-  FROM at JOIN p a ON a.traj_id = at.traj_id AND a.frame = floor(at) LEFT JOIN p b ON b.traj_id = at.traj_id AND b.frame = floor(at) + 1),
+pos AS (SELECT traj_id, t, t * (n - 1) / 95.0::DOUBLE AS u FROM n CROSS JOIN (SELECT unnest(range(0, 96)) AS t)),
+lib AS (SELECT pos.traj_id, t AS frame, a.x0 + (u - floor(u)) * (coalesce(b.x0, a.x0) - a.x0) AS x0, a.x1 + (u - floor(u)) * (coalesce(b.x1, a.x1) - a.x1) AS x1
+  FROM pos JOIN p a ON a.traj_id = pos.traj_id AND a.frame = floor(u) LEFT JOIN p b ON b.traj_id = pos.traj_id AND b.frame = floor(u) + 1),
 proto(traj_id, frame, x0, x1) AS (VALUES {_prototype_values()}),
 {_features_sql("lib", "l")}, {_features_sql("proto", "r")},
 hc AS (SELECT a.traj_id, r.traj_id AS template, (SELECT coalesce(sum(x.f * y.f), 0) FROM lh x JOIN rh y USING (token) WHERE x.traj_id = a.traj_id AND y.traj_id = r.traj_id)

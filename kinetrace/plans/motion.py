@@ -125,9 +125,9 @@ def naive_grid_hist(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "resample_linear",
     f"""WITH {EVENTS_SQL}, n AS (SELECT traj_id, count(*) AS n FROM f GROUP BY traj_id),
-g AS (SELECT traj_id, n, t, t * (n - 1) / 63.0::DOUBLE AS at FROM n CROSS JOIN (SELECT unnest(range(0, 64)) AS t))
-SELECT g.traj_id, t AS frame, round(a.x + (at - floor(at)) * (coalesce(b.x, a.x) - a.x), 6) + 0.0 AS x
-FROM g JOIN f a ON a.traj_id = g.traj_id AND a.frame = floor(at) LEFT JOIN f b ON b.traj_id = g.traj_id AND b.frame = floor(at) + 1""",
+g AS (SELECT traj_id, n, t, t * (n - 1) / 63.0::DOUBLE AS pos FROM n CROSS JOIN (SELECT unnest(range(0, 64)) AS t))
+SELECT g.traj_id, t AS frame, round(a.x + (pos - floor(pos)) * (coalesce(b.x, a.x) - a.x), 6) + 0.0 AS x
+FROM g JOIN f a ON a.traj_id = g.traj_id AND a.frame = floor(pos) LEFT JOIN f b ON b.traj_id = g.traj_id AND b.frame = floor(pos) + 1""",
 )
 def resample_linear(spark: SparkSession, d: str) -> DataFrame:
     r = frames.resample(events(spark, d), 64)
@@ -225,9 +225,9 @@ def spectral_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "header_derived_fields",
-    f"""WITH {SUPPLIER_SQL}, n AS (SELECT traj_id, count(*) AS frames, 4 AS joints FROM f WHERE joint = 0 GROUP BY traj_id)
+    f"""WITH {SUPPLIER_SQL}, c AS (SELECT traj_id, count(*) AS frames, 4 AS joints FROM f WHERE joint = 0 GROUP BY traj_id)
 SELECT traj_id, frames, joints, frames // 2 + 1 AS bins, least(8, frames // 2 + 1) AS keep, least(8, frames // 2 + 1) * 8 AS payload_values, frames * 16 AS raw_bytes, 18 + least(8, frames // 2 + 1) * 32 AS packed_bytes,
-  CASE WHEN frames < 8 THEN 'frames < 8' ELSE 'ok' END AS status FROM n""",
+  CASE WHEN frames < 8 THEN 'frames < 8' ELSE 'ok' END AS status FROM c""",
 )
 def header_derived_fields(spark: SparkSession, d: str) -> DataFrame:
     return spectral.archive_sizes(suppliers(spark, d))

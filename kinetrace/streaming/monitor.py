@@ -18,6 +18,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from kinetrace.functions.columns import bin_of, octant
 from kinetrace.operators.anomaly import STUCK_FRAMES, STUCK_SPEED
 
+#: A trajectory that is silent for so long after the watermark is forgotten.
+IDLE_MS = 3_600_000
 _OUT = "traj_id bigint, joint int, frame bigint, x double, v double, a double, still int, stuck boolean"
 _STATE = "x double, v double, still int, frame bigint"
 
@@ -46,13 +48,13 @@ def _advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> It
         run = run + 1 if s else 0
         still.append(run)
     state.update((float(x[-1]), float(v[-1]), int(run), int(df["frame"].iloc[-1])))
-    state.setTimeoutDuration(3_600_000)
+    state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + IDLE_MS)
     yield pd.DataFrame({"traj_id": key[0], "joint": key[1], "frame": df["frame"].to_numpy(), "x": x, "v": v, "a": a, "still": still, "stuck": np.array(still) >= STUCK_FRAMES})
 
 
-def live_kinetics(frames: DataFrame) -> DataFrame:
+def live_kinetics(frames: DataFrame, late: str = "10 minutes") -> DataFrame:
     """(traj_id, joint, frame, x, v, a, still, stuck): ``still`` counts the frames without movement so far."""
-    return frames.select("traj_id", "joint", "frame", "x").groupBy("traj_id", "joint").applyInPandasWithState(_advance, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return frames.withWatermark("ts", late).groupBy("traj_id", "joint").applyInPandasWithState(_advance, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def live_tokens(kinetic: DataFrame, cuts: tuple[float, float]) -> DataFrame:
