@@ -43,8 +43,40 @@ def _symbols() -> np.ndarray:
     return table
 
 
+def _long(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of one long text, a bounded piece of it at a time."""
+    sym, last = [], np.uint16(1)
+    for low in range(0, len(text) + 2, _SLICE):
+        piece = f" {text} "[low : low + _SLICE] if low == 0 else (text + " ")[low - 1 : low - 1 + _SLICE]
+        part = _symbols()[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.uint16)
+        keep = part != 0
+        keep[1:] |= part[:-1] != 0
+        keep[0] |= last != 0 or low == 0
+        last = part[-1]
+        sym.append(part[keep])
+    sym = np.concatenate(sym)
+    codes, counts = [], []
+    for n in (1, 2, 3):
+        for low in range(0, len(sym) - n + 1, _SLICE):
+            m = min(_SLICE, len(sym) - n + 1 - low)
+            code = np.full(m, n << 30, dtype=np.uint64)
+            for j in range(n):
+                code |= sym[low + j : low + j + m].astype(np.uint64) << np.uint64(20 - 10 * j)
+            if n == 1:
+                code = code[sym[low : low + m] != 0]
+            u, c = np.unique(code, return_counts=True)
+            codes.append(u)
+            counts.append(c)
+    u, inverse = np.unique(np.concatenate(codes), return_inverse=True)
+    return u, np.bincount(inverse, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
+
+
 def ranked(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, n-gram code, count, rank from 0) of every distinct n-gram, by document and rank."""
+    if len(texts) == 1 and len(texts[0]) > _SLICE:
+        code, count = _long(texts[0])
+        order = np.lexsort((code, -count))
+        return np.zeros(len(code), dtype=np.int64), code[order], count[order], np.arange(len(code))
     sizes = np.array([len(t) + 2 for t in texts], dtype=np.int64)
     sym = _symbols()[np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
     doc = np.repeat(np.arange(len(texts), dtype=np.uint64), sizes)
@@ -68,14 +100,9 @@ def ranked(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
     count = np.diff(np.append(head, len(key))).astype(np.uint64)
     key = key[head]
-    if len(count) and int(count.max()) >= 1 << 20:
-        order = np.lexsort((key & _MASK, -count.astype(np.int64), key >> np.uint64(32)))
-        key, count = key[order], count[order]
-        of, code = key >> np.uint64(32), key & _MASK
-    else:
-        top = np.uint64((1 << 20) - 1)
-        packed = np.sort((key >> np.uint64(32)) << np.uint64(52) | (top - count) << np.uint64(32) | key & _MASK)
-        of, code, count = packed >> np.uint64(52), packed & _MASK, top - (packed >> np.uint64(32) & top)
+    top = np.uint64((1 << 20) - 1)  # a slice has fewer symbols than that
+    packed = np.sort((key >> np.uint64(32)) << np.uint64(52) | (top - count) << np.uint64(32) | key & _MASK)
+    of, code, count = packed >> np.uint64(52), packed & _MASK, top - (packed >> np.uint64(32) & top)
     of = of.astype(np.int64)
     first = np.searchsorted(of, np.arange(len(texts)))
     return of, code, count.astype(np.int64), np.arange(len(of)) - first[of]

@@ -188,7 +188,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
     left = keyed.join(gone, key, "left_anti")
     once = left.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(nth) == 1)
-    return once.select(*docs.columns)
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

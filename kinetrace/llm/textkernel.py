@@ -90,22 +90,43 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         row = stop
 
 
+def _segments(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounded runs of bytes that end where no word goes on; a word longer than a run makes the run longer."""
+    low = 0
+    while low < len(data):
+        high = low + SLICE_BYTES + (1 << 16)
+        while high < len(data):
+            gap = np.flatnonzero(~IS_WORD[data[high : high + (1 << 16)]])
+            if len(gap):
+                high += int(gap[0])
+                break
+            high += 1 << 16
+        yield low, min(high, len(data))
+        low = high
+
+
 def words(texts: pa.Array) -> Iterator[Words]:
     for row, n, data, offs in slices(texts):
-        inside = np.zeros(len(data) + 2, dtype=bool)
-        inside[1:-1] = IS_WORD[data]
-        head = inside[1:-1] & ~inside[:-2]
-        tail = inside[1:-1] & ~inside[2:]
-        edge = offs[1:-1]
-        edge = edge[(edge > 0) & (edge < len(data))]  # texts touch in the buffer: a word never crosses an edge
-        head[edge] = inside[1:-1][edge]
-        tail[edge - 1] = inside[1:-1][edge - 1]
-        begin, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
-        up, down = _power(len(data) + 1)
-        total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=total[1:])
-        code = mix64((total[end] - total[begin]) * down[begin])
-        yield Words(row, n, begin, end, code, np.searchsorted(begin, offs), offs, data)
+        parts = [_spell(data[low:high], offs - low) for low, high in _segments(data)] or [_spell(data, offs)]
+        at = [low for low, _ in _segments(data)] or [0]
+        begin, end = (np.concatenate([p[i] + low for p, low in zip(parts, at, strict=True)]) for i in (0, 1))
+        yield Words(row, n, begin, end, np.concatenate([p[2] for p in parts]), np.searchsorted(begin, offs), offs, data)
+
+
+def _spell(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and hash of each word of a run of bytes; no word crosses one of the offsets."""
+    inside = np.zeros(len(data) + 2, dtype=bool)
+    inside[1:-1] = IS_WORD[data]
+    head = inside[1:-1] & ~inside[:-2]
+    tail = inside[1:-1] & ~inside[2:]
+    edge = offs[(offs > 0) & (offs < len(data))]  # texts touch in the buffer: a word never crosses an edge
+    head[edge] = inside[1:-1][edge]
+    tail[edge - 1] = inside[1:-1][edge - 1]
+    begin, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
+    up, down = _power(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=total[1:])
+    return begin, end, mix64((total[end] - total[begin]) * down[begin])
 
 
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

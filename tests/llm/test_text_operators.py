@@ -1,0 +1,262 @@
+"""Language ID, decontamination, secrets, token counts, packing, sharding."""
+
+import collections
+import heapq
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from oracle import compare
+
+from kinetrace.llm import decontaminate, language_id, packing, queries, secret_scan, sharding, token_count
+from test_kernel_and_dedup import WORD, frame, prose
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, sf, name):
+    assert compare(spark, name, queries.QUERIES[name], queries.ORACLE_SQL[name], sf) == ""
+
+
+def test_profiles_identify_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    profiles = language_id.train(docs.where("doc_id % 2 = 0"))
+    held = docs.where("doc_id % 2 = 1").select("lang", language_id.identify(profiles).alias("r")).collect()
+    assert sum(r["lang"] == r["r"]["language"] for r in held) / len(held) > 0.98
+    assert all(r["r"]["language"] for r in held)  # no clean document is rejected
+
+
+def test_language_edges(spark):
+    profiles = {"en": {int(c): i for i, c in enumerate(language_id.ranked(["the cat and the dog"])[1])}, "fr": {int(c): i for i, c in enumerate(language_id.ranked(["le chat et le chien"])[1])}}
+    df = frame(spark, ["the cat", "le chien", "", None, "123 !?", "漢字仮名交じり文", "the cat " * 400_000])
+    got = [tuple(r["r"]) for r in df.select("doc_id", language_id.identify(profiles).alias("r")).orderBy("doc_id").collect()]
+    assert [g[0] for g in got[:6]] == ["en", "fr", None, None, None, None] and got[6][0] is not None
+    assert [g[1:] for g in got[2:5]] == [(None, 0)] * 3
+    assert language_id.train(df.limit(0)) == {}
+    assert language_id.keep_identified(df.limit(0)).count() == 0
+    none = df.select("doc_id", language_id.identify({}).alias("r")).collect()
+    assert all(r["r"]["language"] is None for r in none)
+
+
+def test_long_texts_rank_like_short_ones(monkeypatch):
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcé .1") for _ in range(50_000))
+    want = [x.tolist() for x in language_id.ranked([text])]
+    monkeypatch.setattr(language_id, "_SLICE", 7001)
+    assert [x.tolist() for x in language_id.ranked([text])] == want
+
+
+def test_decontamination_finds_what_brute_force_finds(spark):
+    rng = random.Random(3)
+    items = [prose(rng, rng.randrange(5, 140), 500_000) for _ in range(60)] + ["two words", "", None]
+    texts = []
+    for _ in range(200):
+        item = rng.choice(items[:60]).split()
+        cut = item[: max(1, int(len(item) * rng.choice([0.3, 0.6, 0.8, 1.0, 1.0])))]
+        texts.append(" ".join([prose(rng, rng.randrange(0, 3000), 500_000), *cut, prose(rng, rng.randrange(0, 3000), 500_000)]))
+    texts += ["two words", None, "", prose(rng, 500, 500_000)]
+
+    def sets(t):
+        w = WORD.findall((t or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    asked = [sets(t) for t in items]
+    want = {(d, i) for d, t in enumerate(texts) for i, q in enumerate(asked) if q and len(q & sets(t)) >= 0.5 * len(q)}
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["shared_shingles"], r["item_shingles"]) for r in decontaminate.contained_items(frame(spark, texts), bench).collect()}
+    assert set(found) <= want and len(found) >= 0.99 * len(want)
+    assert all(found[d, i] == (len(asked[i] & sets(texts[d])), len(asked[i])) for d, i in found)
+    clean = {r["doc_id"] for r in decontaminate.drop_contaminated(frame(spark, texts), bench).collect()}
+    assert clean == set(range(len(texts))) - {d for d, _ in found}
+
+
+def test_large_benchmarks_take_several_scans(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SLICE_SHINGLES", 10)
+    bench = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i} e{i} f{i} g{i}") for i in range(20)], "item_id bigint, text string")
+    docs = frame(spark, [f"start a{i} b{i} c{i} d{i} e{i} f{i} g{i} end" for i in range(20)] + ["clean"])
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contained_items(docs, bench).collect()) == [(i, i) for i in range(20)]
+    assert decontaminate.drop_contaminated(docs, bench).count() == 1
+    assert decontaminate.contained_items(docs, bench.limit(0)).count() == 0 and decontaminate.drop_contaminated(docs, bench.limit(0)).count() == 21
+    assert decontaminate.contained_items(docs.limit(0), bench).count() == 0
+
+
+KEY = "q7Zx9LmN2vB4kT8s"
+
+
+@pytest.mark.parametrize(
+    "text, spans",
+    [
+        (f'token = "{KEY}"', [KEY]),
+        (f"export API_KEY={KEY}\nHOST=localhost", [KEY]),
+        (f'{{"client_secret": "{KEY}", "name": "bob"}}', [KEY]),
+        (f"password: {KEY} # note", [KEY]),
+        (f"k = '{KEY}'\nx = k\naws_secret_access_key = x", [KEY]),
+        (f"aws_secret_access_key = late\nlate = '{KEY}'", [KEY]),
+        ('secret = "q7Zx9LmN" + "2vB4kT8s"', ["q7Zx9LmN", "2vB4kT8s"]),
+        (f'cfg["password"] = `{KEY}`', [KEY]),
+        (f"auth_token: str = '''{KEY}'''", [KEY]),
+        (f"'private_key' => '{KEY}'", [KEY]),
+        (f"const dbPassword := \"{KEY}\"", [KEY]),
+        ('password = "changeme"', []),
+        ("password = os.environ['PW']", []),
+        ("max_tokens: 4096, token_count = 1234567890123", []),
+        (f'name = "{KEY}"', []),
+        ("the secret: never tell anyone", []),
+        ("a = b\nb = a\nsecret = a", []),
+        ("url: http://host/p?x=1", []),
+        ("", []),
+        (None, []),
+        ("=" * 3000 + ":" * 3000, []),
+    ],
+)
+def test_secrets(text, spans):
+    found = secret_scan.find_secrets(text)
+    assert [text[a:b] for _, a, b, _ in found] == spans
+    masked = secret_scan.redact(text)
+    assert (masked is None) == (not spans) and all(s not in (masked or "") for s in spans)
+    assert secret_scan.find_secrets(masked) == []
+
+
+def test_redaction_of_a_table(spark):
+    df = frame(spark, [f'token = "{KEY}" rest', "plain", None, ""]).withColumnRenamed("source", "redacted")
+    rows = secret_scan.redact_secrets(df).orderBy("doc_id").collect()
+    assert [r["text"] for r in rows] == ['token = "[secret]" rest', "plain", None, ""]
+    assert rows[0]["n_chars"] == len(rows[0]["text"]) and rows[1]["n_chars"] == 5 and rows[0]["redacted"] == "s"
+    assert secret_scan.redact_secrets(df.limit(0)).count() == 0
+
+
+def test_secrets_in_the_documents_are_all_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = {(r["doc_id"], m.start(1)) for r in docs.collect() for m in re.finditer(r'token = "([0-9a-f]{40})"', r["text"], re.I)}
+    found = {(r["doc_id"], r["start"]) for r in secret_scan.op8_secret_scan(spark, "/root/testdata/sf0.01").collect()}
+    assert planted and planted <= found and len(found) == len(planted)
+
+
+def test_token_counts_equal_an_independent_tokenizer(spark):
+    import tiktoken
+
+    with open(token_count.VOCABULARY, "rb") as f:
+        ranks = token_count.read_ranks(f.read())
+    enc = tiktoken.Encoding("own", pat_str=token_count.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(4)
+    texts = ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 600), 0x1F600 + rng.randrange(50)])) for _ in range(rng.randrange(200))) for _ in range(200)]
+    texts += ["", None, "a" * 5000, "<|endoftext|>", " \n\t " * 50]
+    got = [r["n"] for r in frame(spark, texts).select("doc_id", token_count.token_count(spark).alias("n")).orderBy("doc_id").collect()]
+    assert got == [None if t is None else len(enc.encode_ordinary(t)) for t in texts]
+
+
+def test_merging_is_by_rank_and_leftmost():
+    ranks = {b"a": 0, b"b": 1, b"ab": 2, b"ba": 3, b"abab": 4, b"aba": 9}
+
+    def brute(piece):
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while True:
+            pairs = [(ranks[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in ranks]
+            if not pairs:
+                return len(parts)
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    rng = random.Random(5)
+    for _ in range(300):
+        piece = bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 30)))
+        if piece not in ranks:
+            assert token_count.count_merged(piece, ranks) == brute(piece), piece
+
+
+def test_the_memo_never_changes_a_count():
+    ranks = {b"a": 0, b"b": 1, b"ab": 2}
+    small, large = token_count.Counter(ranks, 3), token_count.Counter(ranks)
+    text = " ".join("".join(random.Random(i).choices("ab", k=5)) for i in range(50))
+    assert small.tokens(text) == large.tokens(text) and len(small) <= 3
+
+
+def brute_packing(sizes, capacity):
+    gaps, out = [], []  # gap of each bin; all bins by number
+    for s in sizes:
+        n = collections.Counter(g for g in gaps if 0 < g < capacity)
+        options = {g for g in n if g >= s} | {capacity}
+        total = {}
+        for g in options:
+            after = n.copy()
+            if g < capacity:
+                after[g] -= 1
+            if 0 < g - s < capacity:
+                after[g - s] += 1
+            total[g] = sum(v * v for v in after.values())
+        best = min(total.values())
+        g = min(g for g in options if total[g] == best)
+        out.append((g, s))
+        if g == capacity:
+            gaps.append(capacity - s)
+        else:
+            gaps[gaps.index(g)] -= s
+    return len(gaps), sorted(gaps), out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_packing_follows_the_rule(seed):
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.integers(5, 40))
+    sizes = rng.integers(1, capacity + 1, 400)
+    bins = packing.sum_of_squares(sizes, capacity)
+    loads = np.bincount(bins, weights=sizes)
+    n, gaps, _ = brute_packing(sizes.tolist(), capacity)
+    assert loads.max() <= capacity and len(loads) == n and sorted(capacity - loads.astype(int)) == gaps
+
+
+def test_packing_of_a_table(spark):
+    rng = random.Random(6)
+    texts = [prose(rng, rng.randrange(0, 500)) for _ in range(300)] + [None, "", prose(rng, 9000), prose(rng, 2048 // 2)]
+    df = frame(spark, texts, [*range(300), None, None, 7, 7])
+    for group_rows in (10_000, 40):
+        rows = packing.pack(df, group_rows=group_rows).collect()
+        fill = collections.Counter()
+        for r in rows:
+            fill[r["bin"]] += r["size"]
+        assert max(v for b, v in fill.items() if b is not None) <= packing.CAPACITY
+        assert sum(r["size"] for r in rows) == sum(2 * len(t.split()) for t in texts if t)  # a word and its number
+        assert sum(r["bin"] is None for r in rows) == sum(not t for t in texts)
+        assert all(r["start"] == r["piece"] * packing.CAPACITY for r in rows)
+    full = sum(v for b, v in fill.items() if b is not None)
+    assert packing.pack(df.limit(0)).count() == 0 and full
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_sharding_equals_a_heap_over_all_groups(spark, seed):
+    rng = random.Random(seed)
+    texts = [rng.choice("abcdef") * rng.randrange(1, 15) for _ in range(500)] + ["zz" * 400, None, None, "", " A  a ", "a a"]
+    shards = rng.randrange(1, 9)
+    rows = sharding.assign_shards(frame(spark, texts), shards=shards).collect()
+    key = lambda t: re.sub(r"\s+", " ", t or "").strip().lower() if t is not None else None
+    size = collections.Counter()
+    for t in texts:
+        size[key(t)] += len(t or "") + 1
+    heap = [(0, j) for j in range(shards)]
+    for s in sorted(size.values(), reverse=True):
+        load, j = heapq.heappop(heap)
+        heapq.heappush(heap, (load + s, j))
+    got, where = collections.Counter(), collections.defaultdict(set)
+    for r in rows:
+        got[r["shard"]] += len(texts[r["doc_id"]] or "") + 1
+        where[key(texts[r["doc_id"]])].add(r["shard"])
+        assert r["group_size"] == size[key(texts[r["doc_id"]])]
+    assert len(rows) == len(texts) and all(len(v) == 1 for v in where.values())
+    assert [got[j] for j in range(shards)] == [load for load, _ in sorted(heap, key=lambda x: x[1])]
+
+
+def test_sharding_by_a_given_group(spark):
+    from pyspark.sql import functions as F
+
+    df = frame(spark, ["a", "bb", "ccc", "dddd"]).withColumn("source", F.when(F.col("doc_id") < 2, "x"))
+    rows = {r["doc_id"]: r["shard"] for r in sharding.assign_shards(df, F.col("source"), 2).collect()}
+    assert rows[0] == rows[1] and rows[2] == rows[3] and rows[0] != rows[2]
+    assert sharding.assign_shards(df.limit(0)).count() == 0
+
+
+def test_signature_arrays_accept_slices():
+    a = pa.array(["one two three four", None, "five six seven"])
+    from kinetrace.llm import near_dedup
+
+    assert near_dedup.signatures(a.slice(2)).to_pylist() == near_dedup.signatures(a).to_pylist()[2:]
