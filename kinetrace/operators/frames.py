@@ -20,9 +20,12 @@ MIN_FRAMES = 8
 
 def wide_frames(df: DataFrame, traj: str, order: Sequence[str | Column], joints: Sequence[str]) -> DataFrame:
     """Frames numbered from 0 in the order given, which has to be total within a trajectory."""
-    w = Window.partitionBy(traj).orderBy(*order)
     xs = [F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(joints)]
-    return df.select(F.col(traj).alias("traj_id"), (F.row_number().over(w) - 1).cast("bigint").alias("frame"), *xs)
+    keys = [(F.col(o) if isinstance(o, str) else o).alias(f"_o{i}") for i, o in enumerate(order)]
+    # renamed before the window, so that its partitioning is known by the name that all later operators use
+    named = df.select(F.col(traj).alias("traj_id"), *xs, *keys)
+    w = Window.partitionBy("traj_id").orderBy(*[f"_o{i}" for i in range(len(keys))])
+    return named.withColumn("frame", (F.row_number().over(w) - 1).cast("bigint")).select("traj_id", "frame", *[f"x{j}" for j in range(len(xs))])
 
 
 def joint_count(wide: DataFrame, prefix: str = "x") -> int:

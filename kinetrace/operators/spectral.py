@@ -37,13 +37,16 @@ def coefficient_rows(long: DataFrame, keep: int = KEEP) -> DataFrame:
 
 def reconstruct(long: DataFrame, keep: int = KEEP, float32: bool = False) -> DataFrame:
     """(traj_id, joint, frame, x, y): every cell beside what the kept bins give back."""
-    both = long.join(coefficients(long, keep, float32), ["traj_id", "joint"])
+    own = Window.partitionBy("traj_id", "joint")
+    kind = "float" if float32 else "double"
     turn = F.lit(2 * math.pi) * F.col("frame") / F.col("frames")
+    # the sums as windows: every cell sees its own series' bins without a join back
+    both = long.withColumn("frames", F.count("*").over(own))
+    both = both.withColumns({f"re{k}": F.sum(F.col("x") * F.cos(turn * k)).over(own).cast(kind).cast("double") for k in range(keep)} | {f"im{k}": (-F.sum(F.col("x") * F.sin(turn * k)).over(own)).cast(kind).cast("double") for k in range(keep)})
     parts = []
     for k in range(keep):
-        z = F.get("c", F.lit(k))
-        weight = F.when(F.lit(2 * k) == F.col("frames"), 1.0).otherwise(1.0 if k == 0 else 2.0)
-        parts.append(F.coalesce(weight * (z["re"] * F.cos(turn * k) - (z["im"] * F.sin(turn * k) if k else F.lit(0.0))), F.lit(0.0)))
+        weight = F.when(F.lit(2 * k) > F.col("frames"), 0.0).when(F.lit(2 * k) == F.col("frames"), 1.0).otherwise(1.0 if k == 0 else 2.0)
+        parts.append(weight * (F.col(f"re{k}") * F.cos(turn * k) - (F.col(f"im{k}") * F.sin(turn * k) if k else F.lit(0.0))))
     return both.select("traj_id", "joint", "frame", "x", (_sum(parts) / F.col("frames")).alias("y"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetrace.functions.columns import bin_of, fixed_bins, octant, octant_atan2, rounded
@@ -12,9 +12,9 @@ QUANTILES, MAGNITUDES, VOCABULARY = (0.33, 0.66), 3, 24
 
 
 def _with_cuts(df: DataFrame, value: str) -> DataFrame:
-    """Adds q1 and q2, the quantiles of ``value`` over the whole trajectory."""
-    cuts = df.groupBy("traj_id").agg(F.percentile(value, F.array(*[F.lit(q) for q in QUANTILES])).alias("q"))
-    return df.join(cuts, "traj_id").withColumns({"q1": F.get("q", F.lit(0)), "q2": F.get("q", F.lit(1))}).drop("q")
+    """Adds q1 and q2, the quantiles of ``value`` over the whole trajectory: a window, so the cells are computed once and not joined back."""
+    cuts = F.percentile(value, F.array(*[F.lit(q) for q in QUANTILES])).over(Window.partitionBy("traj_id"))
+    return df.withColumn("q", cuts).withColumns({"q1": F.get("q", F.lit(0)), "q2": F.get("q", F.lit(1))}).drop("q")
 
 
 def joint_tokens(wide: DataFrame, exact: bool = False) -> DataFrame:

@@ -500,7 +500,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def stream_kinetics(spark: SparkSession, d: str) -> DataFrame:
     """Event frames fed as a stream of files, in order; velocities and still runs kept in state across batches."""
     at = scratch(spark, "stream")
-    long = frames.melt(events(spark, d)).withColumn("ts", F.timestamp_seconds(F.col("frame")))
+    long = frames.melt(events(spark, d)).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("frame")))
     long.repartition(4, "traj_id").write.parquet(f"{at}/in")
     live = monitor.live_kinetics(monitor.read_frames(spark, f"{at}/in"))
     run = live.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start(f"{at}/out")

@@ -26,7 +26,7 @@ def parse_csv(text: str) -> np.ndarray:
         try:
             rows.append([float(c) for c in cells])
         except ValueError:
-            if i and rows or any(_is_number(c) for c in cells):
+            if rows or any(_is_number(c) for c in cells):
                 raise ValueError(f"line {i + 1} has a cell that is no number") from None
     if not rows:
         raise ValueError("CSV has no rows")
