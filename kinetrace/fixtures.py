@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from kinetrace.operators.search import LABELS, primitive_curve
@@ -79,6 +80,36 @@ def episode(frames: int = 100, joints: int = 6, hz: float = 50.0) -> dict:
     return {"joint_positions": np.repeat(0.2 * np.sin(2 * np.pi * t)[:, None], joints, axis=1).astype(np.float32), "timestamps": t, "episode_metadata": {"robot": "arm", "frequency_hz": hz}}
 
 
+def generated(spark: SparkSession, jobs: list[tuple[int, str, int]], frames: int, joints: int, keep: int = 8, parallel: int = 16) -> DataFrame:
+    """Wide frames of (traj_id, kind, seed) jobs, each made on an executor and sent through a packet as an archive would.
+
+    Kind ``nominal`` is a smooth trajectory; ``anomalous`` has jumps, an offset, a mirrored joint and a ramp on top (seed + 1000 for the jumps).
+    """
+    names = [f"x{j}" for j in range(joints)]
+
+    def make(parts):
+        for df in parts:
+            for t, kind, seed in df.itertuples(index=False):
+                x = joint_trajectory(frames, joints, int(seed))
+                if kind == "anomalous":
+                    x = with_jumps(x, int(seed) + 1000, 18, 1.4)
+                    x[frames // 4 : 3 * frames // 4, 0] += 1.6
+                    x[:, 1] *= -1.0
+                    x[:, 2] += np.linspace(0.0, 2.0, frames)
+                y = wire.decode(wire.encode(x, keep))
+                yield pd.DataFrame(y, columns=names).assign(traj_id=t, frame=np.arange(frames))[["traj_id", "frame", *names]]
+
+    todo = spark.createDataFrame(jobs, "traj_id bigint, kind string, seed bigint").repartition(parallel, "traj_id")
+    return todo.mapInPandas(make, "traj_id bigint, frame bigint, " + ", ".join(f"{n} double" for n in names))
+
+
+def anomaly_corpus(seed: int = 20260243, train: int = 60, nominal: int = 100, anomalous: int = 10) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
+    """Jobs for ``generated``: a training fleet, and nominal and anomalous trajectories to judge (traj_id from 1000 and 2000)."""
+    fleet = [(i, "nominal", seed + i) for i in range(train)]
+    judged = [(1000 + i, "nominal", seed + 1000 + i) for i in range(nominal)] + [(2000 + i, "anomalous", seed + 2000 + i) for i in range(anomalous)]
+    return fleet, judged
+
+
 def wide_table(spark: SparkSession, paths: list[np.ndarray], first: int = 0) -> DataFrame:
     """Wide frames of a few NumPy trajectories of equal joint count, traj_id counting from ``first``."""
     rows = [(first + i, f, *map(float, r)) for i, p in enumerate(paths) for f, r in enumerate(p)]

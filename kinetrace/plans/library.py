@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kinetrace import fixtures
 from kinetrace.functions.columns import rounded
-from kinetrace.operators import anomaly, datasets, evaluation, frames, reports, search, tokens
+from kinetrace.operators import anomaly, datasets, evaluation, frames, reports, search, spectral, tokens
 from kinetrace.plans.motion import events, paths, suppliers
 from kinetrace.plans.registry import PATHS_SQL, STEPS_SQL, query, table
 from kinetrace.sources import bags, packets
@@ -481,6 +481,45 @@ def confusion_stress(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(r["queries"], r["false_positive_rate"], r["pass"])], "queries double, false_positive_rate double, pass boolean")
 
 
+@query("anomaly_corpus_sweep")
+def anomaly_corpus_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """The synthetic fleet evaluation: fit on 60 trajectories, judge 100 nominal and 10 anomalous ones at every threshold."""
+    fleet, judged = fixtures.anomaly_corpus()
+    hist = lambda jobs: tokens.token_histogram(tokens.joint_tokens(fixtures.generated(spark, jobs, 4096, 6), exact=True))
+    scores = anomaly.score_fleet(hist(judged), anomaly.fit_fleet(hist(fleet)))
+    return anomaly.sweep(scores.select("score", (F.col("traj_id") >= 2000).alias("anomalous")), anomaly.threshold_grid(spark))
+
+
+@query("token_quality")
+def token_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Centroid accuracy of three features on the synthetic primitives: direction histogram, coarse grid, spectrum."""
+    lib, ask = fixtures.primitives(20260243)
+    order = [(label, p) for name in search.LABELS for label, p in lib + ask if label == name]
+    wide = fixtures.wide_table(spark, [p for _, p in order])
+    labels = spark.createDataFrame([(i, search.LABELS.index(label)) for i, (label, _) in enumerate(order)], "traj_id bigint, label int")
+    vector = lambda cells, key, value: cells.groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct(key, value)))[value].alias("feature"))
+    turns = tokens.dense_histogram(tokens.path_tokens(wide, exact=True), ["traj_id"], "direction", 8, "direction")
+    found = {"direction": vector(turns, "direction", "freq"), "grid": vector(tokens.grid_histogram(wide), "cell", "freq"), "spectrum": vector(spectral.spectral_features(wide), "i", "value")}
+    out = None
+    for name, features in found.items():
+        v = evaluation.split(features.join(labels, "traj_id"), "label", "traj_id")
+        right = evaluation.classify(v.where("not is_train"), evaluation.centroids(v.where("is_train"), "label", "feature"), "traj_id", "label", "feature")
+        row = evaluation.accuracy(right, []).select(F.lit(name).alias("feature"), "n", "correct", "accuracy")
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+@query("primitive_precision")
+def primitive_precision(spark: SparkSession, d: str) -> DataFrame:
+    """Mean precision at 10 of shape signatures: 360 synthetic primitives, 144 noisier queries."""
+    lib, ask = fixtures.primitives(20260243)
+    wide = fixtures.wide_table(spark, [p for _, p in lib + ask])
+    labels = spark.createDataFrame([(i, search.LABELS.index(label)) for i, (label, _) in enumerate(lib + ask)], "traj_id bigint, label int")
+    sig = search.features(wide).select("traj_id", "sig").join(labels, "traj_id")
+    near = search.nearest(sig.where(F.col("traj_id") < len(lib)), sig.where(F.col("traj_id") >= len(lib)), 10, "traj_id", "sig", "label")
+    return evaluation.precision_at_k(near, 10)
+
+
 @query("fault_injection")
 def fault_injection(spark: SparkSession, d: str) -> DataFrame:
     """Frame detector against injected faults with known truth."""

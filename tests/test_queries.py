@@ -29,3 +29,13 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_published_quality_figures(spark, sf):
+    """The figures that are known for these seeded corpora come out again."""
+    sweep = {r["threshold"]: r for r in registry.QUERIES["anomaly_corpus_sweep"](spark, sf).collect()}
+    assert (sweep[3.22]["fpr"], sweep[3.22]["recall"]) == (0.05, 0.9) and (sweep[3.0]["fpr"], sweep[3.0]["recall"]) == (0.19, 0.9)
+    assert min(t for t, r in sweep.items() if r["fpr"] <= 0.05 and r["recall"] >= 0.9) == 3.22
+    quality = {r["feature"]: r["accuracy"] for r in registry.QUERIES["token_quality"](spark, sf).collect()}
+    assert {k: round(v, 4) for k, v in quality.items()} == {"direction": 0.8077, "grid": 0.3333, "spectrum": 0.7051}
+    assert registry.QUERIES["primitive_precision"](spark, sf).first()["precision"] == 1.0
