@@ -197,12 +197,11 @@ SQL = f"""
 WITH norm AS (
   SELECT doc_id, lang, CASE WHEN t = '' THEN '' ELSE ' ' || t || ' ' END AS t
   FROM (SELECT doc_id, lang, trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]+', ' ', 'g')) AS t FROM documents)),
+places AS (SELECT doc_id, lang, unnest(c) AS a, unnest(c[2:]) AS b, unnest(c[3:]) AS d FROM (SELECT doc_id, lang, string_split(t, '') AS c FROM norm WHERE t <> '')),
 grams AS (
   SELECT doc_id, lang, g, count(*) AS n
-  FROM (SELECT doc_id, lang, substr(t, i, k) AS g
-        FROM (SELECT doc_id, lang, t, k, unnest(range(1, length(t) - k + 2)) AS i
-              FROM norm, (VALUES (1), (2), (3)) AS sizes(k) WHERE length(t) >= k)) WHERE g <> ' '
-  GROUP BY ALL),
+  FROM (SELECT doc_id, lang, a AS g FROM places UNION ALL SELECT doc_id, lang, a || b FROM places UNION ALL SELECT doc_id, lang, a || b || d FROM places)
+  WHERE g IS NOT NULL AND g <> ' ' GROUP BY ALL),
 ranked AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(g), g) - 1 AS r FROM grams),
 sample AS (
   SELECT doc_id FROM documents WHERE doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL

@@ -21,7 +21,8 @@ Positions farther than REACH from the next trigger (about 1 in 60) are triggers
 collisions of 64-bit hashes.
 
 Scale: three shuffles, of 20 bytes a phrase, of the texts that have candidates, and of the fragments; sorting is Spark's and
-spills; a worker holds one bucket. Copies of a whole text count once from the start.
+spills. Copies of a whole text count once from the start, and of fragments that are alike throughout a bucket keeps two: the
+others are repeated as they stand. A worker holds the different fragments of one bucket (about 200 bytes each).
 
 Defined edge cases: null and short texts (under LENGTH words) have no passages; repeated rows are copies; null ids are kept;
 texts that are one word over and over are handled as they are.
@@ -131,9 +132,13 @@ def _fragments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _offsets(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(col.buffers()[1], dtype=np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+
+
 def _table(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Binary values as a zero-padded matrix of words, and the number of words of each."""
-    offs = np.frombuffer(col.buffers()[1], dtype=np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    offs = _offsets(col)
     raw = np.frombuffer(col.buffers()[2], dtype=np.uint8) if col.buffers()[2] is not None else np.zeros(0, dtype=np.uint8)
     data = np.frombuffer(raw[offs[0] : offs[-1]].tobytes(), dtype=">u4").astype(np.uint32)
     n = np.diff(offs) // 4
@@ -184,6 +189,13 @@ def _repeats(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held: list[pa.RecordBatch] = []
     for b in it:
+        copy = b.column("nth").to_numpy() > 2
+        if copy.any():  # like two others throughout: all of its starts are repeated, and it proves nothing new
+            c = b.filter(pa.array(copy))
+            at, words_left = c.column("at").to_numpy(), np.diff(_offsets(c.column("left"))) // 4
+            low = c.column("least").to_numpy()
+            yield pa.RecordBatch.from_arrays([c.column("text_key"), pa.array((at - words_left).astype(np.int32)), pa.array((at - low).astype(np.int32))], names=["text_key", "first", "last"])
+            b = b.filter(pa.array(~copy))
         if not b.num_rows:
             continue
         key = b.column("key").to_numpy()
@@ -207,7 +219,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     once = Window.partitionBy("text_key").orderBy("text_key")
     found = texts.join(wanted, "text_key").withColumn("nth", F.row_number().over(once)).where("nth = 1").select("text_key", "text", "ats")
     pieces = found.mapInArrow(_fragments, "key bigint, text_key bigint, at int, least int, left binary, right binary")
-    runs = pieces.repartition("key").sortWithinPartitions("key", "right").mapInArrow(_repeats, "text_key bigint, first int, last int")
+    alike = Window.partitionBy("key", "right", "left", "least").orderBy("text_key", "at")
+    numbered = pieces.repartition("key").withColumn("nth", F.row_number().over(alike))
+    runs = numbered.sortWithinPartitions("key", "right", "left", "least").mapInArrow(_repeats, "text_key bigint, first int, last int")
     return _spans(docs, runs, id_col, text_col)
 
 
