@@ -146,7 +146,7 @@ def audit(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="kinetrace")
-    top.add_argument("--version", action="version", version=__version__)
+    top.add_argument("--version", version=__version__, action="version")
     sub = top.add_subparsers(dest="command", required=True)
 
     def add(name: str, run, *names: str) -> argparse.ArgumentParser:
@@ -163,7 +163,7 @@ def parser() -> argparse.ArgumentParser:
     add("search", find, "folder", "template")
     add("anomaly", detect, "folder", "query").add_argument("--threshold", type=float, default=anomaly.BASELINE)
     add("episode-compress", compress, "folder", "output")
-    add("export-tokens", export, "input").add_argument("--format", choices=("fast", "vla"), required=True)
+    add("export-tokens", export, "input").add_argument("--format", required=True, choices=("vla", "fast"))
     add("audit-bundle", audit, "input", "output")
     return top
 

@@ -30,13 +30,13 @@ def with_jumps(x: np.ndarray, seed: int, spikes: int, size: float) -> np.ndarray
     """Single-cell jumps and one noisy stretch, clipped to 3.1."""
     rng, out = np.random.default_rng(seed), np.array(x, dtype=float)
     frames, joints = out.shape
-    rows = rng.choice(np.arange(2, frames - 2), size=spikes, replace=False)
-    for r, c in zip(rows, rng.choice(np.arange(joints), size=spikes, replace=True), strict=True):
+    rows = 2 + rng.choice(frames - 4, spikes, replace=False)
+    for r, c in zip(rows, rng.choice(joints, spikes), strict=True):
         out[r, c] += size if rng.uniform() > 0.5 else -size
     at = int(rng.integers(128, max(129, frames - 512)))
     stop = min(frames, at + int(rng.integers(32, 96)))
     out[at:stop] += rng.normal(0.0, 0.07 * size, (stop - at, joints))
-    return np.clip(out, -3.1, 3.1)
+    return out.clip(-3.1, 3.1)
 
 
 def with_faults(x: np.ndarray, seed: int, rate: float = 0.015, size: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
@@ -45,8 +45,8 @@ def with_faults(x: np.ndarray, seed: int, rate: float = 0.015, size: float = 2.0
     frames, joints = out.shape
     truth = np.zeros(frames, dtype=bool)
     n = max(1, int(frames * rate))
-    rows = rng.choice(np.arange(3, frames - 3), size=n, replace=False)
-    for r, c in zip(rows, rng.choice(np.arange(joints), size=n, replace=True), strict=True):
+    rows = 3 + rng.choice(frames - 6, n, replace=False)
+    for r, c in zip(rows, rng.choice(joints, n), strict=True):
         out[r, c] += size * (1 if rng.uniform() > 0.5 else -1)
         truth[r] = True
     for _ in range(3):
@@ -62,8 +62,8 @@ def primitives(seed: int, library: int = 60, queries: int = 24, frames: int = 96
     """(label, path) lists: a library and queries of every primitive, the queries noisier."""
     rng, lib, ask = np.random.default_rng(seed), [], []
     for label in LABELS:
-        lib += [(label, primitive_curve(label, frames, rng, 0.015)) for _ in range(library)]
-        ask += [(label, primitive_curve(label, frames, rng, 0.02)) for _ in range(queries)]
+        lib += [(label, primitive_curve(label, frames, 0.015, rng)) for _ in range(library)]
+        ask += [(label, primitive_curve(label, frames, 0.02, rng)) for _ in range(queries)]
     return lib, ask
 
 
@@ -75,9 +75,11 @@ def bag_records(x: np.ndarray, seed: int, count: int = 12, length: int = 256, ke
     ]
 
 
-def episode(frames: int = 100, joints: int = 6, hz: float = 50.0) -> dict:
-    t = np.arange(frames) / hz
-    return {"joint_positions": np.repeat(0.2 * np.sin(2 * np.pi * t)[:, None], joints, axis=1).astype(np.float32), "timestamps": t, "episode_metadata": {"robot": "arm", "frequency_hz": hz}}
+def episode(hz: float = 50.0, joints: int = 6, frames: int = 100) -> dict:
+    """All joints follow one slow sine wave."""
+    seconds = np.arange(frames) / hz
+    wave = (0.2 * np.sin(2 * np.pi * seconds)).astype(np.float32)
+    return {"timestamps": seconds, "joint_positions": np.column_stack([wave] * joints), "episode_metadata": {"frequency_hz": hz, "robot": "arm"}}
 
 
 def generated(spark: SparkSession, jobs: list[tuple[int, str, int]], frames: int, joints: int, keep: int = 8, parallel: int = 16) -> DataFrame:
@@ -93,9 +95,10 @@ def generated(spark: SparkSession, jobs: list[tuple[int, str, int]], frames: int
                 x = joint_trajectory(frames, joints, int(seed))
                 if kind == "anomalous":
                     x = with_jumps(x, int(seed) + 1000, 18, 1.4)
+                    ramp = np.linspace(0.0, 2.0, num=frames)
+                    x[:, 2] = x[:, 2] + ramp
                     x[frames // 4 : 3 * frames // 4, 0] += 1.6
-                    x[:, 1] *= -1.0
-                    x[:, 2] += np.linspace(0.0, 2.0, frames)
+                    x[:, 1] = -x[:, 1]
                 y = wire.decode(wire.encode(x, keep))
                 yield pd.DataFrame(y, columns=names).assign(traj_id=t, frame=np.arange(frames))[["traj_id", "frame", *names]]
 

@@ -42,7 +42,7 @@ def precision_at_k(near: DataFrame, k: int, by: list[str] | None = None) -> Data
     return per.groupBy(*(by or [])).agg(F.count("*").alias("queries"), F.avg("p").alias("precision"))
 
 
-def confusion_stress(labels: np.ndarray, paths: np.ndarray, histogram, seed: int, count: int = 80, k: int = 10) -> dict[str, float]:
+def confusion_stress(labels: np.ndarray, paths: np.ndarray, histogram, seed: int, k: int = 10, trials: int = 80) -> dict[str, float]:
     """Blends random pairs of unlike paths; how often do the k most similar paths all carry one label?
 
     ``histogram`` maps a path to its token histogram. Pairs of one label are skipped but count among the trials.
@@ -50,13 +50,13 @@ def confusion_stress(labels: np.ndarray, paths: np.ndarray, histogram, seed: int
     rng = np.random.default_rng(seed)
     lib = np.stack([histogram(p) for p in paths])
     norm, wrong = np.linalg.norm(lib, axis=1), 0
-    for _ in range(count):
-        a, b = rng.choice(len(paths), size=2, replace=False)
+    for _ in range(trials):
+        a, b = rng.choice(len(paths), 2, replace=False)
         if labels[a] == labels[b]:
             continue
         share = rng.uniform(0.4, 0.6)
         q = histogram(share * paths[a] + (1 - share) * paths[b])
         score = (lib @ q) / np.maximum(norm * np.linalg.norm(q), 1e-12)
         wrong += len(set(labels[np.argsort(-score, kind="stable")[:k]])) < 2
-    rate = wrong / max(1, count)
-    return {"queries": float(max(1, count)), "false_positive_rate": rate, "pass": rate <= 0.25}
+    rate = wrong / max(1, trials)
+    return {"queries": float(max(1, trials)), "false_positive_rate": rate, "pass": rate <= 0.25}

@@ -14,7 +14,7 @@ from kinetrace.functions.columns import cosine, rounded
 from kinetrace.operators.frames import steps, wide_frames  # noqa: F401
 from kinetrace.operators.tokens import VOCABULARY, path_tokens
 
-LABELS = ("reach", "grasp", "retract", "place", "push", "circular_wipe")
+LABELS = tuple("reach grasp retract place push circular_wipe".split())
 TEMPLATES = {name.upper(): name for name in LABELS[:5]}
 WEIGHTS = (0.5, 0.35, 0.15)
 PROTOTYPE_FRAMES = 96
@@ -22,7 +22,7 @@ PROTOTYPE_FRAMES = 96
 BLOCK_ROWS = 1024
 
 
-def primitive_curve(label: str, frames: int, rng: np.random.Generator, noise: float) -> np.ndarray:
+def primitive_curve(label: str, frames: int, noise: float, rng: np.random.Generator) -> np.ndarray:
     """A planar motion of the named kind: its curve, scaled and shifted at random, with noise. Draws scale, shift, noise in turn."""
     s = np.linspace(0.0, 1.0, frames, endpoint=False)
     pi_s = np.pi * s
@@ -43,7 +43,7 @@ def primitive_curve(label: str, frames: int, rng: np.random.Generator, noise: fl
 
 @lru_cache(8)
 def _prototype(label: str, frames: int = PROTOTYPE_FRAMES) -> np.ndarray:
-    return primitive_curve(label, frames, np.random.default_rng(0), 0.0)
+    return primitive_curve(label, frames, 0.0, np.random.default_rng(0))
 
 
 def prototype_frames(spark: SparkSession, labels: tuple[str, ...] = LABELS, frames: int = PROTOTYPE_FRAMES) -> DataFrame:

@@ -155,7 +155,7 @@ def template_search(spark: SparkSession, d: str) -> DataFrame:
     return search.template_search(index, asked).select("template", "rank", "traj_id", "score")
 
 
-# --- datasets -----------------------------------------------------------------------------------------------------
+# datasets
 
 
 @query(
@@ -279,7 +279,7 @@ def default_records(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("event_id").alias("index"), F.lit(bags.TOPIC).alias("topic"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("timestamp_ns"), F.lit("unknown_robot").alias("robot"), F.lit(1.0).alias("quality"))
 
 
-# --- reports ------------------------------------------------------------------------------------------------------
+# reports
 
 
 @query(
@@ -412,7 +412,7 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.sum(k).alias("total"), F.count("*").alias("n"))
 
 
-# --- containers, generators, streams (bytes and state: no SQL) ------------------------------------------------------
+# containers, generators, streams (bytes and state: no SQL)
 
 
 @query("packet_encode_size")

@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# --- views: trajectories in the tables at hand ---------------------------------------------------------------------
+# views: trajectories in the tables at hand
 
 SUPPLIER_JOINTS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 

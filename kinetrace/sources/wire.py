@@ -6,15 +6,15 @@ zlib-compressed float32 array [kept, joints, (re, im)]. The transform is NumPy's
 
 from __future__ import annotations
 
-import struct
 import zlib
 from dataclasses import dataclass
+from struct import Struct
 
 import numpy as np
 
 MAGIC = bytes.fromhex("5a50424f54")
 VERSION, KEEP, LEVEL, MIN_FRAMES = 1, 8, 9, 8
-_HEADER = struct.Struct("<5sBIHHI")
+_HEADER = Struct("<5sBIHHI")
 HEADER_BYTES = _HEADER.size
 
 
@@ -50,12 +50,9 @@ def check_trajectory(values: object) -> np.ndarray:
 
 
 def _check_header(h: Header) -> Header:
-    if h.frames < MIN_FRAMES:
-        raise PacketError("packet frames must be >= 8")
-    if h.joints < 1:
-        raise PacketError("packet joints must be >= 1")
-    if h.keep < 1:
-        raise PacketError("packet keep_coeffs must be >= 1")
+    for name, value, least in (("frames", h.frames, MIN_FRAMES), ("joints", h.joints, 1), ("keep_coeffs", h.keep, 1)):
+        if value < least:
+            raise PacketError(f"packet {name} must be >= {least}")
     if h.keep > h.bins:
         raise PacketError("packet keep_coeffs exceeds available frequency bins")
     return h
@@ -76,12 +73,13 @@ def header(blob: bytes, versions: tuple[int, ...] | None = (VERSION,)) -> Header
     """Header fields only; the payload isn't touched."""
     if len(blob) < HEADER_BYTES:
         raise PacketError("blob too small for packet header")
-    magic, version, frames, joints, keep, crc = _HEADER.unpack_from(blob)
+    magic, *fields = _HEADER.unpack_from(blob)
+    h = Header(*fields)
     if magic != MAGIC:
         raise PacketError("invalid packet magic")
-    if versions is not None and version not in versions:
-        raise PacketError(f"unsupported codec version {version}")
-    return _check_header(Header(version, frames, joints, keep, crc))
+    if versions and h.version not in versions:
+        raise PacketError(f"unsupported codec version {h.version}")
+    return _check_header(h)
 
 
 def payload(blob: bytes, check: bool = True) -> tuple[Header, bytes]:
