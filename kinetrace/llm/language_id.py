@@ -43,7 +43,7 @@ def _symbols() -> np.ndarray:
     return table
 
 
-def _long(text: str) -> tuple[np.ndarray, np.ndarray]:
+def _long(text: str) -> tuple[np.ndarray, ...]:
     """Codes and counts of one long text, a bounded piece of it at a time."""
     sym, last = [], np.uint16(1)
     for low in range(0, len(text) + 2, _SLICE):
