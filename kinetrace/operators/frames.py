@@ -68,10 +68,10 @@ def kinetics(wide: DataFrame, digits: int | None = 9) -> DataFrame:
 
 
 def steps(wide: DataFrame, digits: int | None = 9) -> DataFrame:
-    """Step vectors ``d0..`` between frames; the first frame has none and is left out."""
+    """Adds step vectors ``d0..`` from the frame before; the first frame has none (null)."""
     w, n = Window.partitionBy("traj_id").orderBy("frame"), joint_count(wide)
     tidy = (lambda c: rounded(c, digits)) if digits is not None else (lambda c: c)
-    return wide.withColumns({f"d{j}": tidy(F.col(f"x{j}") - F.lag(f"x{j}").over(w)) for j in range(n)}).where("frame > 0")
+    return wide.withColumns({f"d{j}": tidy(F.col(f"x{j}") - F.lag(f"x{j}").over(w)) for j in range(n)})
 
 
 def planar(wide: DataFrame) -> DataFrame:
@@ -90,17 +90,15 @@ def resample(wide: DataFrame, frames: int) -> DataFrame:
     w, n = Window.partitionBy("traj_id").orderBy("frame"), joint_count(wide)
     last = F.count("*").over(Window.partitionBy("traj_id")) - 1
     nxt = wide.withColumns({"last": last} | {f"n{j}": F.lead(f"x{j}").over(w) for j in range(n)})
-    step = F.col("last") / F.lit(float(frames - 1))
+    step = F.nullif("last", F.lit(0)) / F.lit(float(frames - 1))  # null where there is one frame
     # target t lies at t * step; the stretch of frame f holds f <= t * step < f + 1, the last frame the end itself
-    t = F.explode(F.sequence(F.lit(0), F.lit(frames - 1)))
-    one = nxt.where("last = 0").select("traj_id", t.alias("t"), *[F.col(f"x{j}") for j in range(n)])
-    first, stop = F.ceil(F.col("frame") / step).cast("int") - 1, F.ceil((F.col("frame") + 1) / step).cast("int") + 1
-    low, high = F.greatest(first, F.lit(0)), F.least(stop, F.lit(frames - 1))
-    many = nxt.where("last > 0").withColumn("t", F.explode(F.sequence(low, high))).withColumn("at", F.col("t") * F.col("last") / F.lit(float(frames - 1)))
-    many = many.where((F.floor("at") == F.col("frame")))
+    low = F.greatest(F.ceil(F.col("frame") / step).cast("int") - 1, F.lit(0))
+    high = F.least(F.ceil((F.col("frame") + 1) / step).cast("int") + 1, F.lit(frames - 1))
+    targets = F.sequence(F.coalesce(low, F.lit(0)), F.coalesce(high, F.lit(frames - 1)))
+    out = nxt.withColumn("t", F.explode(targets)).withColumn("at", F.col("t") * F.col("last") / F.lit(float(frames - 1))).where(F.floor("at") == F.col("frame"))
     share = F.col("at") - F.col("frame")
-    many = many.select("traj_id", "t", *[F.when(F.col("frame") == F.col("last"), F.col(f"x{j}")).otherwise(F.col(f"x{j}") + share * (F.col(f"n{j}") - F.col(f"x{j}"))).alias(f"x{j}") for j in range(n)])
-    return many.unionByName(one).select("traj_id", F.col("t").cast("bigint").alias("frame"), *[f"x{j}" for j in range(n)])
+    xs = [F.when(F.col("frame") == F.col("last"), F.col(f"x{j}")).otherwise(F.col(f"x{j}") + share * (F.col(f"n{j}") - F.col(f"x{j}"))).alias(f"x{j}") for j in range(n)]
+    return out.select("traj_id", F.col("t").cast("bigint").alias("frame"), *xs)
 
 
 def pad_or_cut(wide: DataFrame, frames: int) -> DataFrame:

@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinetrace.functions.columns import cosine, rounded
-from kinetrace.operators.frames import steps, wide_frames  # noqa: F401
-from kinetrace.operators.tokens import VOCABULARY, path_tokens
+from kinetrace.operators.tokens import VOCABULARY, tokenised
 
 LABELS = tuple("reach grasp retract place push circular_wipe".split())
 TEMPLATES = {name.upper(): name for name in LABELS[:5]}
@@ -62,12 +61,13 @@ def signature(wide: DataFrame) -> DataFrame:
 
 def features(wide: DataFrame) -> DataFrame:
     """(traj_id, tokens, hist, sig): one row a path, the search index. Tokens are a string, a letter each."""
-    toks = path_tokens(wide).groupBy("traj_id").agg(
-        F.concat_ws("", F.array_sort(F.collect_list(F.struct("frame", F.char(F.col("token") + 65).alias("c"))))["c"]).alias("tokens"),
-        F.array(*[F.count_if(F.col("token") == k) / F.count("*") for k in range(VOCABULARY)]).alias("hist"),
-    )
-    sig = signature(wide).groupBy("traj_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("frame", "s0", "s1"))), lambda r: F.array(r["s0"], r["s1"]))).alias("sig"))
-    return toks.join(sig, "traj_id")
+    marked = tokenised(wide)
+    w = Window.partitionBy("traj_id")
+    moved = marked.withColumns({"c0": F.col("x0") - F.avg("x0").over(w), "c1": F.col("x1") - F.avg("x1").over(w)})
+    moved = moved.withColumn("size", F.greatest(F.sqrt(F.avg(F.col("c0") * F.col("c0") + F.col("c1") * F.col("c1")).over(w)), F.lit(1e-12)))
+    row = F.struct("frame", F.char(F.col("token") + 65).alias("letter"), (F.col("c0") / F.col("size")).alias("s0"), (F.col("c1") / F.col("size")).alias("s1"))
+    per = moved.groupBy("traj_id").agg(F.array_sort(F.collect_list(row)).alias("r"), F.array(*[F.count_if(F.col("token") == k) / F.count("token") for k in range(VOCABULARY)]).alias("hist"))
+    return per.select("traj_id", F.concat_ws("", "r.letter").alias("tokens"), "hist", F.flatten(F.transform("r", lambda f: F.array(f["s0"], f["s1"]))).alias("sig"))
 
 
 def prefix_overlap(text: Column, query: Column) -> Column:

@@ -30,14 +30,19 @@ def joint_tokens(wide: DataFrame, exact: bool = False) -> DataFrame:
     return _with_cuts(cells, "m").select("traj_id", "joint", "frame", token.alias("token"))
 
 
-def path_tokens(wide: DataFrame, exact: bool = False) -> DataFrame:
-    """(traj_id, frame, direction, token) of the steps of two-joint paths; frame 0 has none."""
+def tokenised(wide: DataFrame, exact: bool = False) -> DataFrame:
+    """Two-joint paths with ``direction`` and ``token`` of the step to each frame, null at frame 0, which has none."""
     moved = steps(wide, None if exact else 9).withColumn("m", F.sqrt(F.col("d0") * F.col("d0") + F.col("d1") * F.col("d1")))
     if not exact:
         moved = moved.withColumn("m", rounded("m", 9))
-    moved = moved.withColumn("direction", (octant_atan2 if exact else octant)(F.col("d0"), F.col("d1")))
+    moved = moved.withColumn("direction", F.when(F.col("frame") > 0, (octant_atan2 if exact else octant)(F.col("d0"), F.col("d1"))))
     token = (F.col("direction") * MAGNITUDES + bin_of(F.col("m"), [F.col("q1"), F.col("q2")])).cast("int")
-    return _with_cuts(moved, "m").select("traj_id", "frame", "direction", token.alias("token"))
+    return _with_cuts(moved, "m").withColumn("token", token)
+
+
+def path_tokens(wide: DataFrame, exact: bool = False) -> DataFrame:
+    """(traj_id, frame, direction, token) of the steps of two-joint paths."""
+    return tokenised(wide, exact).where("frame > 0").select("traj_id", "frame", "direction", "token")
 
 
 def dense_histogram(df: DataFrame, keys: list[str], value: str, size: int, name: str = "token") -> DataFrame:

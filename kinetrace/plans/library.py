@@ -15,7 +15,7 @@ from kinetrace.functions.columns import rounded
 from kinetrace.operators import anomaly, datasets, evaluation, frames, reports, search, spectral, tokens
 from kinetrace.plans.motion import events, paths, suppliers
 from kinetrace.plans.registry import PATHS_SQL, STEPS_SQL, query, table
-from kinetrace.sources import bags, packets
+from kinetrace.sources import bags, datasource, files, packets
 from kinetrace.streaming import monitor
 
 
@@ -466,6 +466,37 @@ def baseline_codecs(spark: SparkSession, d: str) -> DataFrame:
     return b.select("traj_id", "tool_id", "raw_size_bytes", "compressed_size_bytes", "bit_exact_replay", rounded("max_abs_error", 3).alias("max_abs_error"))
 
 
+@query("packet_source_scan")
+def packet_source_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Packets written as files and scanned by their headers alone."""
+    at = scratch(spark, "packets")
+    packets.write_packets(packets.pack_frames(events(spark, d)), at)
+    datasource.register(spark)
+    heads = spark.read.format("motion_packets").option("payload", "false").load(at)
+    return heads.select(F.regexp_extract("path", r"([0-9]+)\.packet$", 1).cast("bigint").alias("traj_id"), "frames", "joints", "keep", "payload_bytes", "error")
+
+
+@query("csv_roundtrip")
+def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Trajectories written as CSV with joint headers and read back: cells, and the sum of each."""
+    at = scratch(spark, "csv")
+    files.write_csv(suppliers(spark, d), at)
+    back = files.read_csv(spark, at).withColumn("traj_id", F.regexp_extract("path", "traj_id=([0-9]+)/", 1).cast("bigint"))
+    return back.groupBy("traj_id", "joint").agg(F.count("*").alias("cells"), rounded(F.sum("x"), 2).alias("total"), F.count("error").alias("errors"))
+
+
+@query("episode_compression")
+def episode_compression(spark: SparkSession, d: str) -> DataFrame:
+    """Every supplier's frames as an episode of four joints, compressed with four bins."""
+    row = F.struct("frame", F.array(*[F.col(f"x{j}").cast("float") for j in range(4)]).alias("q"))
+    e = suppliers(spark, d).groupBy("traj_id").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    episodes = e.select(
+        F.format_string("episode_%05d.json", "traj_id").alias("path"), F.lit("top_level").alias("structure"), F.col("r.q").alias("joint_positions"), F.transform("r.frame", lambda f: f / F.lit(50.0)).alias("timestamps"),
+        F.create_map(F.lit("robot"), F.lit("arm")).alias("episode_metadata"), F.lit(None).cast("string").alias("error"),
+    )
+    return files.compress_episodes(episodes).select("path", "raw_bytes", "packet_bytes", rounded("ratio", 6).alias("ratio"), "error")
+
+
 @query("confusion_stress")
 def confusion_stress(spark: SparkSession, d: str) -> DataFrame:
     lib, _ = fixtures.primitives(20260243)

@@ -137,6 +137,14 @@ def compress_episodes(episodes: DataFrame, keep: int = 4) -> DataFrame:
     return episodes.mapInArrow(run, "path string, content binary, raw_bytes bigint, packet_bytes bigint, ratio double, sidecar string, error string")
 
 
+def dump_episode(e: dict) -> str:
+    """An episode as pretty JSON with sorted keys, in the structure it came in."""
+    e = normalise_episode(e)
+    inner = {"joint_positions": e["joint_positions"].tolist()}
+    body = {"observation": inner} if e["structure"] == "observation" else inner
+    return json.dumps(body | {"timestamps": e["timestamps"].tolist(), "episode_metadata": e["episode_metadata"]}, sort_keys=True, indent=2) + "\n"
+
+
 def overall_ratio(compressed: DataFrame) -> DataFrame:
     """(files, raw_bytes, packet_bytes, ratio): the ratio of the sums."""
     per = compressed.where("error is null").agg(F.count("*").alias("files"), F.coalesce(F.sum("raw_bytes"), F.lit(0)).alias("raw_bytes"), F.coalesce(F.sum("packet_bytes"), F.lit(0)).alias("packet_bytes"))

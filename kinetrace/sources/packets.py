@@ -6,12 +6,11 @@ import gzip
 import os
 import time
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinetrace.operators.frames import joint_count
@@ -24,20 +23,64 @@ def read_packets(spark: SparkSession, folder: str, pattern: str = "*") -> DataFr
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path", "content")
 
 
+def by_trajectory(wide: DataFrame, names: list[str], schema: str, each: Callable[[np.ndarray], list[dict]]) -> DataFrame:
+    """Applies ``each`` to the [frames, joints] matrix of every trajectory; its rows come back with traj_id in front.
+
+    A row number gives the order: its window asks for frames that are together and sorted, which costs nothing if they are already,
+    and Arrow batches then hold whole runs of frames. One matrix is in memory at a time beside its batch.
+    """
+    ordered = wide.select("traj_id", "frame", *names).withColumn("_n", F.row_number().over(Window.partitionBy("traj_id").orderBy("frame")))
+    kind, fields = dict(wide.dtypes)["traj_id"], [f.split()[0] for f in schema.split(", ")]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, held, types = None, [], None
+        rows: dict[str, list] = {c: [] for c in ("traj_id", *fields)}
+
+        def finish() -> None:
+            for r in each(np.concatenate(held)) if held else ():
+                rows["traj_id"].append(who)
+                for c in fields:
+                    rows[c].append(r.get(c))
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(rows["traj_id"], type=types)] + [pa.array(rows[c], type=_ARROW[t.split()[1]]) for c, t in zip(fields, schema.split(", "), strict=True)], names=list(rows))
+            for v in rows.values():
+                v.clear()
+            return out
+
+        for b in it:
+            types = b.column(0).type
+            first = np.flatnonzero(b.column("_n").to_numpy() == 1).tolist()
+            x = np.column_stack([b.column(n).to_numpy(zero_copy_only=False) for n in names]).astype(float)
+            for lo, hi in zip([0, *first], [*first, b.num_rows], strict=True):
+                if hi > lo:
+                    held.append(x[lo:hi])
+                if hi < b.num_rows:  # another trajectory begins
+                    finish()
+                    who, held = b.column(0)[hi].as_py(), []
+            if len(rows["traj_id"]) > 500:
+                yield flush()
+        finish()
+        if rows["traj_id"]:
+            yield flush()
+
+    return ordered.mapInArrow(run, f"traj_id {kind}, {schema}")
+
+
+_ARROW = {"binary": pa.binary(), "bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
 def pack_frames(wide: DataFrame, keep: int = wire.KEEP, level: int = wire.LEVEL) -> DataFrame:
     """(traj_id, content, raw_bytes, error): one packet a trajectory; what can't be packed has an error instead."""
     names = [f"x{j}" for j in range(joint_count(wide))]
 
-    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        x = df.sort_values("frame")[names].to_numpy(dtype=float)
+    def each(x: np.ndarray) -> list[dict]:
         try:
-            blob, error = wire.encode(x, keep, level), None
+            return [{"content": wire.encode(x, keep, level), "raw_bytes": 4 * x.size}]
         except wire.PacketError as e:
-            blob, error = None, str(e)
-        return pd.DataFrame({"traj_id": [key[0]], "content": [blob], "raw_bytes": [4 * x.size], "error": [error]})
+            return [{"raw_bytes": 4 * x.size, "error": str(e)}]
 
-    kind = dict(wide.dtypes)["traj_id"]
-    return wide.select("traj_id", "frame", *names).groupBy("traj_id").applyInPandas(run, f"traj_id {kind}, content binary, raw_bytes bigint, error string")
+    return by_trajectory(wide, names, "content binary, raw_bytes bigint, error string", each)
 
 
 def packet_header(content: str = "content") -> Column:
@@ -143,7 +186,6 @@ def _codecs() -> dict[str, tuple]:
 def benchmark_codecs(wide: DataFrame, runs: int = 5) -> DataFrame:
     """A row a trajectory and tool: sizes, ratio, encode and decode times, exactness and largest error on float32 samples."""
     names = [f"x{j}" for j in range(joint_count(wide))]
-    kind = dict(wide.dtypes)["traj_id"]
 
     def timed(f, *args: object) -> tuple[object, list[float]]:
         took = []
@@ -153,14 +195,14 @@ def benchmark_codecs(wide: DataFrame, runs: int = 5) -> DataFrame:
             took.append(1000 * (time.perf_counter() - began))
         return out, took
 
-    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        x = df.sort_values("frame")[names].to_numpy(dtype=np.float32)
-        rows = []
+    def each(values: np.ndarray) -> list[dict]:
+        x, rows = values.astype(np.float32), []
         for tool, (enc, dec) in _codecs().items() if len(x) >= wire.MIN_FRAMES else ():
             blob, e = timed(enc, x)
             back, d = timed(dec, blob, x.shape)
-            rows.append((key[0], tool, x.nbytes, len(blob), x.nbytes / max(1, len(blob)), *np.percentile(e, [50, 95]), *np.percentile(d, [50, 95]), bool((back == x).all()), False, float(np.abs(back.astype(float) - x).max())))
-        return pd.DataFrame(rows, columns=["traj_id", "tool_id", "raw_size_bytes", "compressed_size_bytes", "compression_ratio", "encode_time_ms_p50", "encode_time_ms_p95", "decode_time_ms_p50", "decode_time_ms_p95", "bit_exact_replay", "searchable_without_decode", "max_abs_error"])
+            figures = (tool, x.nbytes, len(blob), x.nbytes / max(1, len(blob)), *np.percentile(e, [50, 95]), *np.percentile(d, [50, 95]), bool((back == x).all()), False, float(np.abs(back.astype(float) - x).max()))
+            rows.append(dict(zip([c.split()[0] for c in schema.split(", ")], figures, strict=True)))
+        return rows
 
-    schema = f"traj_id {kind}, tool_id string, raw_size_bytes bigint, compressed_size_bytes bigint, compression_ratio double, encode_time_ms_p50 double, encode_time_ms_p95 double, decode_time_ms_p50 double, decode_time_ms_p95 double, bit_exact_replay boolean, searchable_without_decode boolean, max_abs_error double"
-    return wide.select("traj_id", "frame", *names).groupBy("traj_id").applyInPandas(run, schema)
+    schema = "tool_id string, raw_size_bytes bigint, compressed_size_bytes bigint, compression_ratio double, encode_time_ms_p50 double, encode_time_ms_p95 double, decode_time_ms_p50 double, decode_time_ms_p95 double, bit_exact_replay boolean, searchable_without_decode boolean, max_abs_error double"
+    return by_trajectory(wide, names, schema, each)
