@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -174,7 +175,9 @@ def nearest_neighbours(vectors: DataFrame, k: int = NEIGHBOURS, recall: float =
                     continue
                 if isinstance(held, list):
                     t = pa.Table.from_batches(held).combine_chunks()
-                    held = (t.column("key").to_numpy(), t.column("id").combine_chunks(), matrix(t.column("v"), dim), t.column("cell").to_numpy())
+                    ids, place = t.column("id").combine_chunks(), np.empty(t.num_rows, dtype=np.int64)
+                    place[pc.sort_indices(ids, null_placement="at_end").to_numpy()] = np.arange(t.num_rows)
+                    held = (t.column("key").to_numpy(), ids, matrix(t.column("v"), dim), t.column("cell").to_numpy(), place)
                 for q in range(0, part.num_rows, 512):
                     yield _rerank(part.slice(q, 512), held, known.value, dim, k)
 
@@ -185,7 +188,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = NEIGHBOURS, recall: float =
 
 def _rerank(part: pa.RecordBatch, held: tuple, books: list[np.ndarray], dim: int, k: int) -> pa.RecordBatch:
     """The k best of a bucket's entries for some queries, among the cells that each query's walk passed."""
-    keys, ids, x, cell = held
+    keys, ids, x, cell, place = held
     half, size = dim // 2, len(books[1])
     v, own, stop = matrix(part.column("v"), dim), part.column("key").to_numpy(), part.column("stop").to_numpy()
     seen, at = np.unique(cell, return_inverse=True)
@@ -200,6 +203,13 @@ def _rerank(part: pa.RecordBatch, held: tuple, books: list[np.ndarray], dim: int
     m = min(k, len(some))
     best = np.argpartition(d, m - 1, axis=1)[:, :m] if m else np.zeros((len(v), 0), dtype=np.int64)
     row = np.repeat(np.arange(len(v)), m)
+    if m:  # as good as the last one, but for rounding: such queries choose by exact distance and id
+        last = np.take_along_axis(d, best, 1).max(1)
+        level = np.where(np.isfinite(last), last + 1e-5 * (1 + (v * v).sum(1)), -1.0)
+        for r in np.flatnonzero((d <= level[:, None]).sum(1) > m):
+            near = np.flatnonzero(d[r] <= level[r])
+            true = ((v[r].astype(np.float64) - x[some[near]]) ** 2).sum(1)
+            best[r] = near[np.lexsort((place[some[near]], true))[:m]]
     best = best.ravel()
     fine = np.isfinite(d[row, best])
     row, best = row[fine], some[best[fine]]
