@@ -145,6 +145,10 @@ def nearest(library: DataFrame, queries: DataFrame, k: int, key: str, vector: st
                 m = min(k, d.shape[1])
                 top = np.argpartition(d, m - 1, axis=1)[:, :m].ravel()
                 row = np.repeat(np.arange(len(q)), m)
+                last = d[row, top].reshape(-1, m).max(1)
+                for r in np.flatnonzero(((d <= last[:, None] + 1e-12) & np.isfinite(d)).sum(1) > m):  # ties at the end: the lowest ids
+                    near = np.flatnonzero(d[r] <= last[r] + 1e-12)
+                    top[r * m : (r + 1) * m] = near[np.lexsort((x[near], np.round(d[r, near], 12)))[:m]]
                 ok = np.isfinite(d[row, top])
                 row, top = row[ok], top[ok]
                 yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(ql[row]), pa.array(x[top]), pa.array(xl[top]), pa.array(d[row, top])], names=["query", "query_label", "traj_id", "label", "mse"])
