@@ -25,7 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinetrace.llm.textkernel import cut
+
 RANKS, SAMPLE_PER_LANGUAGE, REJECT = 300, 1000, 0.80
+BROADCAST_ROWS = 500_000
 _SLICE, _DOCS, _EXACT = 1 << 19, 4096, 0x250
 _MASK = np.uint64(0xFFFFFFFF)
 
@@ -149,8 +152,9 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict[str,
     """Language -> n-gram code -> rank, from a bounded sample of the labelled rows."""
     chosen = docs.where("doc_id is not null and lang is not null and text is not null").select("lang", "doc_id", F.md5(F.col("doc_id").cast("string")).alias("h"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = chosen.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "doc_id").distinct()
-    sample = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")  # at most per_language ids a language
+    ids = cut(chosen.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "doc_id").distinct())
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids  # with very many languages, a shuffled join
+    sample = docs.select("doc_id", "lang", "text").join(few, ["doc_id", "lang"]).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     profiles: dict[str, dict[int, int]] = {}

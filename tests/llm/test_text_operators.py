@@ -27,6 +27,13 @@ def test_profiles_identify_held_out_documents(spark):
     assert all(r["r"]["language"] for r in held)  # no clean document is rejected
 
 
+def test_training_without_a_broadcast_is_the_same(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = language_id.train(docs, 20)
+    monkeypatch.setattr(language_id, "BROADCAST_ROWS", 0)
+    assert language_id.train(docs, 20) == want and len(want) == 4
+
+
 def test_language_edges(spark):
     profiles = {"en": {int(c): i for i, c in enumerate(language_id.ranked(["the cat and the dog"])[1])}, "fr": {int(c): i for i, c in enumerate(language_id.ranked(["le chat et le chien"])[1])}}
     df = frame(spark, ["the cat", "le chien", "", None, "123 !?", "漢字仮名交じり文", "the cat " * 400_000])
