@@ -246,3 +246,19 @@ def test_one_exchange_serves_windows_quantiles_and_histograms(spark, sf):
 def test_packets_round_trip_in_shape(values, keep):
     x = np.array(values)[:, None]
     assert wire.decode(wire.encode(x, keep)).shape == x.shape
+
+
+def test_cosine_guards(spark):
+    from kinetrace.functions.columns import cosine, cosine_clipped
+
+    df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([1e-9, 0.0], [1e-9, 0.0])], "a array<double>, b array<double>")
+    got = df.select(cosine(F.col("a"), F.col("b")).alias("c"), cosine_clipped(F.col("a"), F.col("b")).alias("d")).collect()
+    assert abs(got[0]["c"] - 0.5**0.5) < 1e-12 and got[1]["c"] == 0.0 and got[1]["d"] == 0.0
+    assert got[2]["c"] == 0.0 and abs(got[2]["d"] - 1e-6) < 1e-12  # the two guards differ for tiny vectors
+
+
+def test_names(spark):
+    from kinetrace.functions.columns import slug
+
+    df = spark.createDataFrame([("Lab/Aloha-Mobile",), ("lab/umi_cup",), ("lab/My-Arm",)], "r string")
+    assert [tuple(r) for r in df.select(slug(F.col("r")), datasets.family(F.col("r"))).collect()] == [("lab__aloha_mobile", "aloha"), ("lab__umi_cup", "umi"), ("lab__my_arm", "my_arm")]

@@ -215,3 +215,13 @@ def test_command_line(spark, tmp_path, capsys, arm):
     code, said = run("episode-compress", eps, tmp_path / "packed")
     assert code == 0 and json.loads(said.out)["files"] == 1
     assert F is not None
+
+
+def test_episodes_dump_and_parse():
+    e = fixtures.episode(frames=10)
+    back = files.parse_episode("x.json", files.dump_episode(e).encode())
+    assert back["structure"] == "top_level" and np.array_equal(back["joint_positions"], e["joint_positions"]) and back["episode_metadata"]["robot"] == "arm"
+    nested = files.parse_episode("x.json", files.dump_episode({"observation": {"joint_positions": e["joint_positions"]}}).encode())
+    assert nested["structure"] == "observation" and nested["timestamps"].tolist() == list(range(10))
+    with pytest.raises(ValueError):
+        files.parse_episode("x.txt", b"")
