@@ -6,6 +6,11 @@ profile. A language's profile is made alike from the labelled documents of a bou
 ``SAMPLE_PER_LANGUAGE`` documents a language, those of smallest md5 of the id. The distance of a text to a language
 is the sum, over the text's n-grams, of the difference of the two ranks, ``RANKS`` where the language hasn't the n-gram.
 The nearest language wins (ties: the first by name), unless the mean over the text's n-grams exceeds ``REJECT``.
+That alone, the SQL's definition, passes almost any text in Latin letters, so ``keep_identified`` takes the limit from the labelled
+sample itself, by number of n-grams: each half is measured, whole and cut short, against profiles of the other half. The
+limit lies a share ``BETWEEN`` of the way from the 99th percentile of the nearest language's mean distance to the median of the second
+nearest's, which is how far a language without labels is. Under ``BANDS[0]`` n-grams the two overlap, and ``REJECT`` holds; so
+it does where fewer than ``MEASURED`` texts say otherwise.
 
 Scale: one scan of the texts, vectorised over code points, no shuffle of texts; what is broadcast is RANKS rows a language.
 A worker holds about a megabyte of text at a time (or one document, if longer).
@@ -28,6 +33,7 @@ from pyspark.sql import functions as F
 from kinetrace.llm.textkernel import cut
 
 RANKS, SAMPLE_PER_LANGUAGE, REJECT = 300, 1000, 0.80
+BANDS, CUTS, MEASURED, BETWEEN = (101, 151, 201, RANKS), (50, 80, 120, 160, None), 100, 0.6
 BROADCAST_ROWS = 500_000
 _SLICE, _DOCS, _EXACT = 1 << 19, 4096, 0x250
 _MASK = np.uint64(0xFFFFFFFF)
@@ -148,13 +154,17 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(langs[lo:hi]).take(pa.array(of)), pa.array(code.astype(np.int64)), pa.array(count)], names=["lang", "code", "n"])
 
 
-def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict[str, dict[int, int]]:
-    """Language -> n-gram code -> rank, from a bounded sample of the labelled rows."""
+def _sample(docs: DataFrame, per_language: int) -> DataFrame:
+    """(lang, half, text): a bounded sample of the labelled rows, halved by id."""
     chosen = docs.where("doc_id is not null and lang is not null and text is not null").select("lang", "doc_id", F.md5(F.col("doc_id").cast("string")).alias("h"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = cut(chosen.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "doc_id").distinct())
+    ids = cut(chosen.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "doc_id", F.when(F.substring("h", 32, 1) < "8", "0").otherwise("1").alias("half")).distinct())
     few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids  # with very many languages, a shuffled join
-    sample = docs.select("doc_id", "lang", "text").join(few, ["doc_id", "lang"]).select("lang", "text")
+    return docs.select("doc_id", "lang", "text").join(few, ["doc_id", "lang"]).select("lang", "half", "text")
+
+
+def _profiles(sample: DataFrame) -> dict[str, dict[int, int]]:
+    """Language -> n-gram code -> rank, from rows (lang, text)."""
     counts = sample.mapInArrow(_count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     profiles: dict[str, dict[int, int]] = {}
@@ -163,11 +173,50 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict[str,
     return profiles
 
 
-def identify(profiles: dict[str, dict[int, int]], text_col: str = "text", reject: float = REJECT) -> Column:
-    """struct<language, distance, ngrams> of a text column; language is null where it is rejected."""
+def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict[str, dict[int, int]]:
+    """Language -> n-gram code -> rank, from a bounded sample of the labelled rows."""
+    return _profiles(_sample(docs, per_language).select("lang", "text"))
+
+
+def _table(profiles: dict[str, dict[int, int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, n-gram codes, [codes, languages] ranks)."""
     langs = sorted(profiles)
     codes = np.array(sorted({c for p in profiles.values() for c in p}), dtype=np.uint64)
-    ranks = np.array([[profiles[x].get(int(c), RANKS) for x in langs] for c in codes], dtype=np.int64).reshape(len(codes), len(langs))
+    return langs, codes, np.array([[profiles[x].get(int(c), RANKS) for x in langs] for c in codes], dtype=np.int64).reshape(len(codes), len(langs))
+
+
+def limits(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> np.ndarray:
+    """By number of n-grams: the mean distance beyond which a text is in none of the labelled languages."""
+    limit = np.full(RANKS + 1, REJECT)
+    sample = _sample(docs, per_language)
+    halves: dict[str, dict[str, dict[int, int]]] = {"0": {}, "1": {}}
+    for name, profile in _profiles(sample.select(F.concat("half", "lang").alias("lang"), "text")).items():
+        halves[name[0]][name[1:]] = profile
+    tables = {own: _table(halves[other]) for own, other in ("01", "10")}
+
+    def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
+            for own, (langs, codes, ranks) in tables.items():
+                texts = [t[:n] for lang, half, t in rows if half == own and lang in langs for n in CUTS]
+                if len(langs) < 2 or not texts:
+                    continue
+                total, used = distances(texts, codes, ranks)
+                some = used >= BANDS[0]
+                mean = np.sort(total[some], axis=1)[:, :2] / (RANKS * used[some])[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(BANDS, used[some], side="right") - 1), pa.array(mean[:, 0]), pa.array(mean[:, 1])], names=["band", "nearest", "second"])
+
+    found = sample.mapInArrow(measure, "band bigint, nearest double, second double").groupBy("band").agg(F.count("*").alias("n"), F.percentile("nearest", 0.99).alias("own"), F.percentile("second", 0.01).alias("least"), F.percentile("second", 0.5).alias("other"))
+    for r in found.collect():
+        if r["n"] >= MEASURED and r["own"] < r["least"]:
+            limit[BANDS[r["band"]] : [*BANDS, RANKS + 1][r["band"] + 1]] = min(REJECT, r["own"] + BETWEEN * (r["other"] - r["own"]))
+    return limit
+
+
+def identify(profiles: dict[str, dict[int, int]], text_col: str = "text", reject: float | np.ndarray = REJECT) -> Column:
+    """struct<language, distance, ngrams> of a text column; language is null where it is rejected. reject: one, or by number of n-grams."""
+    langs, codes, ranks = _table(profiles)
+    most = np.broadcast_to(np.asarray(reject, dtype=np.float64), RANKS + 1)
 
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in it:
@@ -178,7 +227,7 @@ def identify(profiles: dict[str, dict[int, int]], text_col: str = "text", reject
                 total, used = distances(texts, codes, ranks)
             best = total.argmin(axis=1)
             least = total[np.arange(len(texts)), best]
-            ok = (used > 0) & (least <= reject * RANKS * used)
+            ok = (used > 0) & (least <= most[used] * RANKS * used)
             names = [langs[j] if o else None for j, o in zip(best, ok, strict=True)]
             yield pa.StructArray.from_arrays(
                 [pa.array(names, type=pa.string()), pa.array(least, mask=used == 0), pa.array(used)], names=["language", "distance", "ngrams"]
@@ -192,9 +241,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "lang", identify(train(docs)).alias("r")).select("doc_id", "lang", "r.*")
 
 
-def keep_identified(docs: DataFrame, reject: float = REJECT) -> DataFrame:
-    """``docs`` without the rows whose language is rejected; the profiles come from ``docs`` itself."""
-    return docs.where(identify(train(docs), reject=reject)["language"].isNotNull())
+def keep_identified(docs: DataFrame, reject: float | None = None) -> DataFrame:
+    """``docs`` without the rows whose language is rejected; the profiles and, unless given, the limits come from ``docs`` itself."""
+    return docs.where(identify(train(docs), reject=limits(docs) if reject is None else reject)["language"].isNotNull())
 
 
 SQL = f"""

@@ -27,6 +27,24 @@ def test_profiles_identify_held_out_documents(spark):
     assert all(r["r"]["language"] for r in held)  # no clean document is rejected
 
 
+def test_the_stage_drops_a_language_without_labels_and_gibberish(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 4 = 0").select("doc_id", "text", "lang")
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(2000)) for _ in range(50)]
+    noise = frame(spark, noise, range(10**9, 10**9 + 50)).select("doc_id", "text", F.lit(None).cast("string").alias("lang"))
+    for held in ("en", "de"):
+        hidden = docs.withColumn("lang", F.when(F.col("lang") != held, F.col("lang"))).union(noise)
+        kept = {r["doc_id"] for r in language_id.keep_identified(hidden).select("doc_id").collect()}
+        grams = {r["doc_id"]: (r["lang"], r["n"]) for r in docs.select("doc_id", "lang", language_id.identify(language_id.train(docs))["ngrams"].alias("n")).collect()}
+        foreign = [i for i, (lang, n) in grams.items() if lang == held and n > 100]
+        assert sum(i in kept for i in foreign) <= 0.02 * len(foreign) and not any(i >= 10**9 for i in kept)
+        known = [i for i, (lang, n) in grams.items() if lang != held and n]
+        assert sum(i in kept for i in known) >= 0.999 * len(known)
+    assert language_id.limits(docs.limit(0)).tolist() == [language_id.REJECT] * (language_id.RANKS + 1)
+
+
 def test_training_without_a_broadcast_is_the_same(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = language_id.train(docs, 20)
