@@ -13,7 +13,8 @@ Scale: one scan, no shuffle; the weights (some 30,000 floats) are broadcast. Pag
 ``STEPS`` block steps at a time or one page.
 
 Defined edge cases: a null page has null text and no blocks, an empty one empty text; unclosed and stray tags, comments,
-scripts and styles are tolerated; entities are decoded; repeated rows are labelled alike.
+scripts and styles are tolerated; a head ends at its end tag, the first tag that cannot stand in one, or text outside its title;
+entities are decoded; repeated rows are labelled alike.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ TRAIN_PAGES, EPOCHS, HIDDEN, STEPS = 200, 8, 24, 40_000
 _TAGS, _WORDS, _FIGURES = 32, 64, 6
 WIDTH = _TAGS + _WORDS + _FIGURES
 
-_TOKEN = re.compile(r"<!--[\s\S]*?(?:-->|$)|<(script|style|template|noscript|head)\b[\s\S]*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9]*)(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>|$)|<[!?][^>]*(?:>|$)|[^<]+|<", re.I)
+_TOKEN = re.compile(r"<!--[\s\S]*?(?:-->|$)|<(script|style|template|noscript)\b[\s\S]*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9]*)(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>|$)|<[!?][^>]*(?:>|$)|[^<]+|<", re.I)
+_TITLE = re.compile(r"(?:(?!<body\b|</head\b)[\s\S])*?</title\s*>", re.I)
+_HEAD = frozenset("html head title base basefont bgsound link meta".split())
 _INLINE = frozenset("a abbr b bdi bdo cite code data em font i kbd label mark q s samp small span strong sub sup time u var tt ins del img wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _CLOSES = {"p": ("p",), "li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
@@ -43,6 +46,7 @@ _SPLIT = re.compile(r"\w+")
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path of open block tags, text, characters of it inside links) of each leaf block."""
     out, path, parts, link, links = [], [], [], 0, 0
+    head, open_title, titled = False, False, 0  # in a head, in a title without end, end of the last title
 
     def flush() -> None:
         nonlocal links
@@ -53,7 +57,13 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         links = 0
 
     for m in _TOKEN.finditer(page):
+        if m.start() < titled:
+            continue
         tag = m[3]
+        if tag is None and head and m[1] is None and not m[0].startswith(("<!", "<?")) and not m[0].isspace():
+            if open_title:
+                continue
+            head = False
         if tag is None:
             if m[1] is None and not m[0].startswith(("<!", "<?")):
                 parts.append(m[0])
@@ -62,6 +72,16 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 parts.append(" ")
             continue
         tag = tag.lower()
+        if tag == "head":
+            head, open_title = not m[2], False
+            parts.append(" ")
+            continue
+        if head and (tag in _HEAD if not m[2] else tag not in ("body", "html", "br")):
+            if tag == "title" and not m[2] and not open_title:
+                close = _TITLE.match(page, m.end())
+                titled, open_title = close.end() if close else 0, not close
+            continue
+        head = False
         if tag in _INLINE:
             if tag == "a":
                 link = 0 if m[2] else 1

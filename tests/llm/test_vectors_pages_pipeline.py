@@ -99,6 +99,24 @@ def test_blocks_of_broken_pages():
     assert html_extract.blocks("") == [] and html_extract.blocks("<" * 50)[0][1] == "<" * 50 and html_extract.blocks("<p") == []
 
 
+@pytest.mark.parametrize(
+    "head, rest",
+    [
+        ("<head><title>x</title>", "<body>"),
+        ("<head><meta charset=utf-8><title>x <b> y</title><script>'<body>'</script><!-- <p> --><link rel=a>", ""),
+        ("<HEAD lang=en><title>x", "<body class=a>"),
+        ("<head><title>x", ""),
+        ("<head><title>x</title></head>", "<body>"),
+        ("<head><style>p{}</style>", "<header></header>"),
+    ],
+)
+def test_a_head_without_end_ends_where_the_body_begins(head, rest):
+    page = f"<html>{head}{rest}<article><p>Main text</p><p>more</article>"
+    assert [(path[-1], text) for path, text, _ in html_extract.blocks(page)][:2] == [("p", "Main text"), ("p", "more")]
+    assert [t for _, t, _ in html_extract.blocks("<head><title>x</title>Plain text")] == ["Plain text"]
+    assert html_extract.blocks("<head><title>x") == [] and html_extract.blocks("<head>" + "<title>" * 50_000) == []
+
+
 def test_pages_edges(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<p>only</p>"), (None, "u", "<article><p>x</article>"), (3, "u", "<p>only</p>")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
