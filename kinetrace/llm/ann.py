@@ -7,9 +7,9 @@ How many are enough is measured, not guessed: the true neighbours of ``PROBES``
 after how many entries the walk reaches a share ``RECALL`` of them. On data without structure that is most
 of the table, on clustered data very little.
 
-Scale: what is broadcast is two codebooks and the cells' counts, at most ``MOST_CENTROIDS``^2 numbers whatever the input.
-Entries lie in buckets of neighbouring cells, about ``BUCKET_ROWS`` each. A query is sent once to each bucket that its walk touches,
-with the summed distance at which it stopped, from which the bucket knows the cells; entries come first and stay in
+Scale: what is broadcast is two codebooks and the cells' counts, buckets and bits, at most 3 x ``MOST_CENTROIDS``^2 numbers whatever the input.
+Entries lie in buckets of neighbouring cells, about ``BUCKET_ROWS`` each. A query is sent once to each bucket of which its walk passed filled
+cells, with a bit for each filled cell of the bucket; entries come first and stay in
 memory, queries stream past. Every row is a query.
 
 Defined edge cases: null vectors, vectors with null or non-finite parts, and vectors whose length isn't the most frequent
@@ -70,6 +70,16 @@ def walk(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int) -> tup
     return cells, last, passed
 
 
+def _bits(counts: np.ndarray, bucket_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bit of each filled cell, first byte of each bucket and their end): every bucket's bits begin at a byte."""
+    full = np.flatnonzero(counts)
+    per = np.bincount(bucket_of[full])
+    first = np.concatenate([[0], np.cumsum((per + 7) // 8)])
+    bit = np.zeros(len(counts), dtype=np.int64)
+    bit[full] = 8 * first[bucket_of[full]] + np.arange(len(full)) - (np.cumsum(per) - per)[bucket_of[full]]
+    return bit, first
+
+
 def _codebooks(rows: DataFrame, dim: int, k: int, iterations: int) -> list[np.ndarray]:
     """k-means of each half over all rows; begins at k vectors chosen by hash."""
     spark, half = rows.sparkSession, dim // 2
@@ -126,37 +136,41 @@ def nearest_neighbours(vectors: DataFrame, k: int = NEIGHBOURS, recall: float =
         counts[r["cell"]] = r["count"]
     enough = _enough(coded, dim, books, counts, min(k, n - 1), recall)
     bucket_of = ((np.cumsum(counts) - counts) // bucket_rows).astype(np.int32)
-    plan = spark.sparkContext.broadcast((counts, bucket_of, enough))
+    plan = spark.sparkContext.broadcast((counts, bucket_of, enough, *_bits(counts, bucket_of)))
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, buckets, stop_after = plan.value
-        held = held.tolist()
+        counted, buckets, stop_after, bit, first = plan.value
+        held = counted.tolist()
         for b in it:
             for lo in range(0, b.num_rows, 2048):
                 part = b.slice(lo, 2048)
                 x = matrix(part.column("v"), dim)
                 d1, d2 = squared(x[:, :half], known.value[0]), squared(x[:, half:], known.value[1])
-                row, to, stop = [], [], []
+                row, to, passed = [], [], []
                 for i in range(len(x)):
-                    cells, last, _ = walk(d1[i], d2[i], held, stop_after)
+                    cells = np.array(walk(d1[i], d2[i], held, stop_after)[0])
+                    cells = cells[counted[cells] > 0]
                     hit = np.unique(buckets[cells])
+                    on = np.zeros(8 * first[-1], dtype=bool)
+                    on[bit[cells]] = True
+                    on = np.packbits(on).tobytes()
                     row.append(np.full(len(hit), i))
                     to.append(hit)
-                    stop.append(np.full(len(hit), last))
+                    passed += [on[first[b] : first[b + 1]] for b in hit]
                 at = pa.array(np.concatenate(row))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(to)), pa.array(np.ones(len(at), dtype=np.int32))] + [part.column(c).take(at) for c in ("cell", "key", "id", "v")] + [pa.array(np.concatenate(stop))],
-                    names=["bucket", "is_query", "cell", "key", "id", "v", "stop"],
+                    [pa.array(np.concatenate(to)), pa.array(np.ones(len(at), dtype=np.int32))] + [part.column(c).take(at) for c in ("cell", "key", "id", "v")] + [pa.array(passed, type=pa.binary())],
+                    names=["bucket", "is_query", "cell", "key", "id", "v", "passed"],
                 )
 
-    shape = f"bucket int, is_query int, cell int, key bigint, id {id_type}, v array<float>, stop double"
+    shape = f"bucket int, is_query int, cell int, key bigint, id {id_type}, v array<float>, passed binary"
     queries = coded.mapInArrow(send, shape)
 
     def file(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             bucket = plan.value[1][b.column("cell").to_numpy()]
-            zero = np.zeros(b.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(zero.astype(np.int32)), b.column("cell"), b.column("key"), b.column("id"), b.column("v"), pa.array(zero)], names=["bucket", "is_query", "cell", "key", "id", "v", "stop"])
+            zero = np.zeros(b.num_rows, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(zero), b.column("cell"), b.column("key"), b.column("id"), b.column("v"), pa.nulls(b.num_rows, pa.binary())], names=["bucket", "is_query", "cell", "key", "id", "v", "passed"])
 
     met = coded.mapInArrow(file, shape).unionAll(queries).repartition("bucket").sortWithinPartitions("bucket", "is_query", "cell")
 
@@ -177,23 +191,20 @@ def nearest_neighbours(vectors: DataFrame, k: int = NEIGHBOURS, recall: float =
                     t = pa.Table.from_batches(held).combine_chunks()
                     ids, place = t.column("id").combine_chunks(), np.empty(t.num_rows, dtype=np.int64)
                     place[pc.sort_indices(ids, null_placement="at_end").to_numpy()] = np.arange(t.num_rows)
-                    held = (t.column("key").to_numpy(), ids, matrix(t.column("v"), dim), t.column("cell").to_numpy(), place)
+                    held = (t.column("key").to_numpy(), ids, matrix(t.column("v"), dim), plan.value[3][t.column("cell").to_numpy()] - 8 * plan.value[4][bucket], place)
                 for q in range(0, part.num_rows, 512):
-                    yield _rerank(part.slice(q, 512), held, known.value, dim, k)
+                    yield _rerank(part.slice(q, 512), held, dim, k)
 
     near = met.mapInArrow(rerank, f"key bigint, vec_id {id_type}, neighbour_key bigint, neighbour_id {id_type}, distance double")
     order = Window.partitionBy("key").orderBy("distance", F.col("neighbour_id").asc_nulls_last(), "neighbour_key")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("vec_id", "neighbour_id", "rank", "distance")
 
 
-def _rerank(part: pa.RecordBatch, held: tuple, books: list[np.ndarray], dim: int, k: int) -> pa.RecordBatch:
+def _rerank(part: pa.RecordBatch, held: tuple, dim: int, k: int) -> pa.RecordBatch:
     """The k best of a bucket's entries for some queries, among the cells that each query's walk passed."""
-    keys, ids, x, cell, place = held
-    half, size = dim // 2, len(books[1])
-    v, own, stop = matrix(part.column("v"), dim), part.column("key").to_numpy(), part.column("stop").to_numpy()
-    seen, at = np.unique(cell, return_inverse=True)
-    d1, d2 = squared(v[:, :half], books[0]), squared(v[:, half:], books[1])
-    passed = d1[:, seen // size].astype(np.float64) + d2[:, seen % size] <= stop[:, None] * (1 + 1e-5)
+    keys, ids, x, at, place = held  # at: the bit of each entry's cell
+    v, own = matrix(part.column("v"), dim), part.column("key").to_numpy()
+    passed = np.unpackbits(np.frombuffer(b"".join(part.column("passed").to_pylist()), dtype=np.uint8).reshape(len(v), -1), axis=1).astype(bool)
     some = np.flatnonzero(passed.any(0)[at])
     if not len(some):
         some = np.arange(0)

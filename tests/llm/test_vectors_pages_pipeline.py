@@ -46,6 +46,18 @@ def test_the_walk_visits_cells_by_summed_distance():
     assert got[-1] >= 20 > (got[-2] if len(got) > 1 else 0) and stop == sums[part[-1]]
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.01])
+def test_copies_of_one_vector_find_each_other(spark, spread):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(4, 64)) * 3
+    x = (centres[np.arange(4000) % 4] * (1 + spread * rng.normal(size=(4000, 64)))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VEC)
+    got = {}
+    for r in ann.nearest_neighbours(df, bucket_rows=1000).collect():
+        got.setdefault(r["vec_id"], []).append(r["neighbour_id"])
+    assert len(got) == 4000 and all(len(v) == 10 and all(j % 4 == i % 4 for j in v) for i, v in got.items())
+
+
 def test_vector_edges(spark):
     odd = [(1, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [1.0, 0.0]), (None, [5.0, 5.0]), (3, None), (4, []), (5, [1.0, float("nan")]), (6, [1.0, 2.0, 3.0]), (7, [None, 1.0])]
     rows = ann.nearest_neighbours(spark.createDataFrame(odd, VEC)).collect()
