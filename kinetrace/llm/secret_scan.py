@@ -5,10 +5,11 @@ expression of terms (quoted literals in any common quoting, bare configuration v
 or adjacency. Names stand for the constants assigned to them anywhere in the same text (the nearest assignment
 before the use, else the first one after it), through any number of steps, so ``k = "..."; api_key = k`` is found at
 the literal. A literal is scored by the most sensitive name that it reaches and by its own look (length, character
-classes, entropy; placeholders score 0); it is a finding from ``LEAST_SCORE``.
+classes, entropy; placeholders score 0); it is a finding from ``LEAST_SCORE``. A literal that is none is read as a text of its own, its
+escapes resolved, so assignments in embedded scripts and configurations are found. An unquoted value after ``Bearer`` or ``Basic`` is a literal.
 
 Scale: every text is judged alone, one scan, no shuffle; a text without an operator is passed over by one search.
-The work is linear in the text: operators are found first, names are matched backwards from them.
+The work is linear in the text, times the depth of literals within literals: operators are found first, names are matched backwards from them.
 
 Defined edge cases: null and empty texts have no findings; long texts are read whole; repeated rows are judged alike;
 in ``a: b = "x"`` both names are targets of the literal; spans are character offsets of the literal
@@ -56,10 +57,17 @@ def name_score(name: str) -> int:
     return best // 2 if best and parts and parts[-1] in _HARMLESS else best
 
 
+_TEMPLATE = re.compile(r"^(?:[<{\[$%].*|(.)\1*)$")
+_SCHEME = re.compile(r"(?i)(?:bearer|basic)[ \t]+(?=[^\s\"'`,;#(){}\[\]<>])")
+_ESCAPE = re.compile(r"\\([\s\S])")
+#: In longer literals the words of placeholders are chance.
+_LONG = 4096
+
+
 def literal_score(text: str, quoted: bool) -> int:
     """0-100: how much a literal looks like a secret rather than a word, a sentence or a placeholder."""
     n = len(text)
-    if n < 6 or n > 4096 or _PLACEHOLDER.match(text):
+    if n < 6 or (_PLACEHOLDER if n <= _LONG else _TEMPLATE).match(text):
         return 0
     bits = -sum(c / n * math.log2(c / n) for c in Counter(text).values())
     classes = sum(bool(re.search(p, text)) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9\s]"))
@@ -102,6 +110,10 @@ def assignments(text: str) -> list[Assignment]:
                 g = m.lastgroup
                 terms.append(Term("literal", m[g], m.start(g), m.end(g)))
                 tied = m.end()
+            elif not terms and (m := _SCHEME.match(text, pos)):
+                m = _BARE.match(text, m.end())
+                terms.append(Term("literal", m[0], m.start(), m.end()))
+                tied = m.end()
             elif (m := _NAME.match(text, pos)) and (_BARE.match(text, pos)[0][m.end() - pos :] in ("", "+", ".", "..", "\\")):
                 after = text[m.end() : m.end() + 1]
                 terms.append(Term("call" if after in ("(", "[") else "name", m[0], m.start(), m.end()))
@@ -118,6 +130,18 @@ def assignments(text: str) -> list[Assignment]:
     return out
 
 
+def _unescaped(text: str) -> tuple[str, list[int] | range]:
+    """The text with its escapes resolved, and where each of its characters and its end are in the text."""
+    if "\\" not in text:
+        return text, range(len(text) + 1)
+    out, where, at = [], [], 0
+    for m in _ESCAPE.finditer(text):
+        out += [text[at : m.start()], {"n": "\n", "r": "\r", "t": "\t"}.get(m[1], m[1])]
+        where += [*range(at, m.start()), m.start()]
+        at = m.end()
+    return "".join(out) + text[at:], [*where, *range(at, len(text) + 1)]
+
+
 def find_secrets(text: str | None) -> list[tuple[str, int, int, int]]:
     """(target name, start, stop, score) of every literal that is a secret, by position."""
     if not text or ("=" not in text and ":" not in text):
@@ -152,6 +176,10 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int, int]]:
             for p in parts:
                 if p.text and score > best.get((p.start, p.stop), (0, ""))[0]:
                     best[p.start, p.stop] = (score, a.name)
+    for start, stop in {(t.start, t.stop) for a in found for t in a.terms if t.kind == "literal"} - best.keys():
+        inner, where = _unescaped(text[start:stop])
+        for name, a, b, score in find_secrets(inner):
+            best[start + where[a], start + where[b]] = (score, name)
     return [(name, start, stop, score) for (start, stop), (score, name) in sorted(best.items())]
 
 
