@@ -1,7 +1,7 @@
-"""Nearest neighbours of every vector through an inverted multi-index.
+"""Nearest neighbours through an inverted multi-index.
 
-Each half of a vector is quantised by a codebook of its own (k-means over all vectors); a pair of codes is a cell. For a
-query, the two lists of centroids are sorted by distance and a heap walks their pairs by increasing summed distance (the
+Each half of a vector is quantised by a codebook of its own (k-means over at most about ``FIT_ROWS`` vectors, chosen by
+hash); a pair of codes is a cell, and every vector is filed in one. For a query, the two lists of centroids are sorted by distance and a heap walks their pairs by increasing summed distance (the
 multi-sequence algorithm) until the cells that it passed hold enough entries; those are reranked by exact distance.
 How many are enough is measured, not guessed: the true neighbours of ``PROBES`` sample queries, found among all vectors, say
 after how many entries the walk reaches a share ``RECALL`` of them. On data without structure that is most
@@ -10,11 +10,13 @@ of the table, on clustered data very little.
 Scale: what is broadcast is two codebooks and the cells' counts, buckets and bits, at most 3 x ``MOST_CENTROIDS``^2 numbers whatever the input.
 Entries lie in buckets of neighbouring cells, about ``BUCKET_ROWS`` each. A query is sent once to each bucket of which its walk passed filled
 cells, with a bit for each filled cell of the bucket; entries come first and stay in
-memory, queries stream past. Every row is a query.
+memory, queries stream past. Queries are the rows that a condition names, by default all; the registered query asks with
+every id that 100 divides, against all rows. Beyond ``CELL_ROWS`` x ``MOST_CENTROIDS``^2 (52 million) vectors cells grow with the input.
 
 Defined edge cases: null vectors, vectors with null or non-finite parts, and vectors whose length isn't the most frequent
 one have no neighbours and are none; rows equal in id and vector count once; null ids are allowed; ties go to
-the lower id; with fewer than ``k`` other vectors all of them are neighbours; zero vectors are ordinary points.
+the lower id; with fewer than ``k`` other vectors all of them are neighbours; zero vectors are ordinary points; an empty
+table and a condition that no row meets (or that is null) give no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,13 +28,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinetrace.llm.textkernel import cut
 
 NEIGHBOURS, RECALL, PROBES, ITERATIONS = 10, 0.96, 256, 8
-CELL_ROWS, MOST_CENTROIDS, BUCKET_ROWS = 50, 1024, 4096
+CELL_ROWS, MOST_CENTROIDS, BUCKET_ROWS, FIT_ROWS = 50, 1024, 4096, 250_000
 
 
 def matrix(col: pa.Array, dim: int) -> np.ndarray:
@@ -81,9 +83,9 @@ def _bits(counts: np.ndarray, bucket_of: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _codebooks(rows: DataFrame, dim: int, k: int, iterations: int) -> list[np.ndarray]:
-    """k-means of each half over all rows; begins at k vectors chosen by hash."""
+    """k-means of each half over the rows given; begins at k vectors chosen by hash."""
     spark, half = rows.sparkSession, dim // 2
-    start = np.array([r["v"] for r in rows.orderBy(F.hash("key"), "key").select("v").limit(k).collect()], dtype=np.float32).reshape(-1, dim)
+    start = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id", "v"), "id").select("v").limit(k).collect()], dtype=np.float32).reshape(-1, dim)
     books = [start[:, :half].copy(), start[:, half:].copy()]
     for _ in range(iterations):
         known = spark.sparkContext.broadcast(books)
@@ -95,7 +97,10 @@ def _codebooks(rows: DataFrame, dim: int, k: int, iterations: int) -> list[np.nd
                 for lo in range(0, len(x), 4096):
                     for t, book, part in zip(total, known.value, (x[lo : lo + 4096, :half], x[lo : lo + 4096, half:]), strict=True):
                         near = squared(part, book).argmin(1)
-                        np.add.at(t, near, np.column_stack([part, np.ones(len(part))]))
+                        order = np.argsort(near, kind="stable")
+                        first = np.flatnonzero(np.diff(near[order], prepend=-1))
+                        t[near[order][first], :-1] += np.add.reduceat(part[order].astype(np.float64), first, axis=0)
+                        t[:, -1] += np.bincount(near, minlength=len(t))
             for h, t in enumerate(total):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), h)), pa.array(np.arange(len(t))), pa.array(list(t), type=pa.list_(pa.float64()))], names=["h", "c", "s"])
 
@@ -107,18 +112,23 @@ def _codebooks(rows: DataFrame, dim: int, k: int, iterations: int) -> list[np.nd
     return books
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = NEIGHBOURS, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(vec_id, neighbour_id, rank, distance): the ``k`` nearest other vectors of every vector."""
+def nearest_neighbours(
+    vectors: DataFrame, k: int = NEIGHBOURS, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding", bucket_rows: int = BUCKET_ROWS, queries: Column | None = None
+) -> DataFrame:
+    """(vec_id, neighbour_id, rank, distance): the ``k`` nearest other vectors, among all, of every vector or of those that ``queries`` holds for."""
     spark, id_type = vectors.sparkSession, dict(vectors.dtypes)[id_col]
     schema = f"vec_id {id_type}, neighbour_id {id_type}, rank int, distance double"
-    valid = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where("v is not null and size(v) > 1 and forall(v, x -> x is not null and not isnan(x) and abs(x) < float('inf'))")
+    asks = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
+    valid = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v"), asks.alias("asks")).where("v is not null and size(v) > 1 and forall(v, x -> x is not null and not isnan(x) and abs(x) < float('inf'))")
     common = valid.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if common is None:
         return spark.createDataFrame([], schema)
     dim, half = common["d"], common["d"] // 2
-    rows = cut(valid.where(F.size("v") == dim).dropDuplicates(["id", "v"]).withColumn("key", F.xxhash64("id", "v")))
-    n = rows.count()
-    books = _codebooks(rows, dim, min(MOST_CENTROIDS, n, max(2, round(math.sqrt(n / CELL_ROWS)))), ITERATIONS)
+    once = valid.where(F.size("v") == dim).groupBy("id", "v").agg(F.max("asks").alias("asks"))
+    rows = cut(once.withColumn("key", F.monotonically_increasing_id()))  # written once, so a key stays
+    n, chosen = rows.count(), F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30))
+    fit = rows if n <= FIT_ROWS else cut(rows.where(chosen < (1 << 30) * FIT_ROWS // n))
+    books = _codebooks(fit, dim, min(MOST_CENTROIDS, n, max(2, round(math.sqrt(n / CELL_ROWS)))), ITERATIONS)
     size = len(books[1])
     known = spark.sparkContext.broadcast(books)
 
@@ -128,12 +138,12 @@ def nearest_neighbours(vectors: DataFrame, k: int = NEIGHBOURS, recall: float =
             cell = np.zeros(len(x), dtype=np.int64)
             for lo in range(0, len(x), 4096):
                 cell[lo : lo + 4096] = squared(x[lo : lo + 4096, :half], known.value[0]).argmin(1) * size + squared(x[lo : lo + 4096, half:], known.value[1]).argmin(1)
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), b.column("v"), pa.array(cell.astype(np.int32))], names=["key", "id", "v", "cell"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), b.column("v"), pa.array(cell.astype(np.int32)), b.column("asks")], names=["key", "id", "v", "cell", "asks"])
 
-    coded = cut(rows.select("key", "id", "v").mapInArrow(code, f"key bigint, id {id_type}, v array<float>, cell int"))
+    coded = cut(rows.select("key", "id", "v", "asks").mapInArrow(code, f"key bigint, id {id_type}, v array<float>, cell int, asks boolean"))
     counts = np.zeros(len(books[0]) * size, dtype=np.int64)
-    for r in coded.groupBy("cell").count().collect():  # at most MOST_CENTROIDS^2 numbers
-        counts[r["cell"]] = r["count"]
+    filled = coded.groupBy("cell").count().toArrow()  # at most MOST_CENTROIDS^2 numbers
+    counts[filled.column("cell").to_numpy()] = filled.column("count").to_numpy()
     enough = _enough(coded, dim, books, counts, min(k, n - 1), recall)
     bucket_of = ((np.cumsum(counts) - counts) // bucket_rows).astype(np.int32)
     plan = spark.sparkContext.broadcast((counts, bucket_of, enough, *_bits(counts, bucket_of)))
@@ -164,7 +174,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = NEIGHBOURS, recall: float =
                 )
 
     shape = f"bucket int, is_query int, cell int, key bigint, id {id_type}, v array<float>, passed binary"
-    queries = coded.mapInArrow(send, shape)
+    sent = coded.where("asks").mapInArrow(send, shape)
 
     def file(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -172,7 +182,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = NEIGHBOURS, recall: float =
             zero = np.zeros(b.num_rows, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(zero), b.column("cell"), b.column("key"), b.column("id"), b.column("v"), pa.nulls(b.num_rows, pa.binary())], names=["bucket", "is_query", "cell", "key", "id", "v", "passed"])
 
-    met = coded.mapInArrow(file, shape).unionAll(queries).repartition("bucket").sortWithinPartitions("bucket", "is_query", "cell")
+    met = coded.mapInArrow(file, shape).unionAll(sent).repartition("bucket").sortWithinPartitions("bucket", "is_query", "cell")
 
     def rerank(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, None
@@ -235,7 +245,7 @@ def _rerank(part: pa.RecordBatch, held: tuple, dim: int, k: int) -> pa.RecordBat
 def _enough(coded: DataFrame, dim: int, books: list[np.ndarray], counts: np.ndarray, k: int, recall: float) -> int:
     """Entries that a walk has to pass for its cells to hold a share ``recall`` of the true neighbours; measured on PROBES queries."""
     half = dim // 2
-    sample = coded.orderBy(F.hash("key"), "key").select("key", "v").limit(PROBES).collect()
+    sample = coded.orderBy(F.xxhash64("id", "v"), "id").select("key", "v").limit(PROBES).collect()
     probe = np.array([r["v"] for r in sample], dtype=np.float32).reshape(-1, dim)
     own = np.array([r["key"] for r in sample], dtype=np.int64)
     if k < 1:
@@ -269,4 +279,5 @@ def _enough(coded: DataFrame, dim: int, books: list[np.ndarray], counts: np.ndar
 
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    """Asks with every vector whose id is divisible by 100, against all vectors."""
+    return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), queries=F.col("vec_id") % 100 == 0)

@@ -30,7 +30,7 @@ def test_neighbours_against_brute_force(spark, kind):
     x = x / np.linalg.norm(x, axis=1, keepdims=True) if kind == "sphere" else (rng.normal(size=(30, 16)) * 5)[rng.integers(0, 30, 1500)].astype(np.float32) + x
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VEC)
     rows = ann.nearest_neighbours(df, bucket_rows=200).collect()
-    assert recall(rows, x, 10) >= 0.9
+    assert recall(rows, x, 10) >= 0.93  # the walk is measured for 0.96 on a sample of queries
     for r in rows[:200]:
         assert r["vec_id"] != r["neighbour_id"] and abs(r["distance"] - np.linalg.norm(x[r["vec_id"]].astype(float) - x[r["neighbour_id"]])) < 1e-5
 
@@ -46,6 +46,34 @@ def test_the_walk_visits_cells_by_summed_distance():
     assert got[-1] >= 20 > (got[-2] if len(got) > 1 else 0) and stop == sums[part[-1]]
 
 
+@pytest.mark.parametrize("kind", ["sphere", "clusters"])
+def test_a_query_set_asks_all_vectors(spark, kind):
+    """Recall of the registered form, every id divisible by 100 against all rows, by brute force."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 16)).astype(np.float32)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) if kind == "sphere" else (rng.normal(size=(40, 16)) * 5)[rng.integers(0, 40, 6000)].astype(np.float32) + x
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VEC)
+    got = {}
+    for r in ann.nearest_neighbours(df, bucket_rows=500, queries=F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r["vec_id"], {})[r["rank"]] = r["neighbour_id"]
+    assert set(got) == set(range(0, 6000, 100)) and all(set(v) == set(range(1, 11)) for v in got.values())
+    found = 0
+    for i, v in got.items():
+        d = ((x.astype(float) - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        found += len(set(v.values()) & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert found / (10 * len(got)) >= 0.9
+    assert ann.nearest_neighbours(df, queries=F.lit(None).cast("boolean")).count() == 0
+
+
+def test_codebooks_of_a_bounded_sample(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 8)).astype(np.float32)
+    monkeypatch.setattr(ann, "FIT_ROWS", 500)
+    rows = ann.nearest_neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VEC)).collect()
+    assert recall(rows, x, 10) >= 0.93
+
+
 @pytest.mark.parametrize("spread", [0.0, 0.01])
 def test_copies_of_one_vector_find_each_other(spark, spread):
     rng = np.random.default_rng(3)
@@ -64,6 +92,9 @@ def test_vector_edges(spark):
     assert {(r["vec_id"], r["neighbour_id"]) for r in rows} == {(1, 2), (2, 1), (1, None), (None, 1), (2, None), (None, 2)}
     assert ann.nearest_neighbours(spark.createDataFrame([], VEC)).count() == 0
     assert ann.nearest_neighbours(spark.createDataFrame([(1, [1.0, 2.0])], VEC)).count() == 0
+    extra = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(5)], VEC).selectExpr("*", "'x' as id", "'x' as v", "'x' as key", "'x' as asks", "'x' as cell", "'x' as `a.b`")
+    assert ann.nearest_neighbours(extra, queries=F.col("vec_id") == 0).columns == ["vec_id", "neighbour_id", "rank", "distance"]
+    assert [r["neighbour_id"] for r in ann.nearest_neighbours(extra, queries=F.col("vec_id") == 0).orderBy("rank").collect()] == [1, 2, 3, 4]
     same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(30)], VEC)
     got = {}
     for r in ann.nearest_neighbours(same).collect():
