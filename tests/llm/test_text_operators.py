@@ -167,6 +167,133 @@ def test_long_embedded_and_unquoted_secrets(text, spans):
     assert secret_scan.find_secrets(secret_scan.redact(text)) == []
 
 
+@pytest.mark.parametrize(
+    "text, spans",
+    [
+        (f'private_key = "{LONG[:4096]}"', [LONG[:4096]]),
+        (f'private_key = "{LONG[:4097]}"', [LONG[:4097]]),
+        ('password = "hunter2"', ["hunter2"]),
+        (f'"{"k" * 90}_password": "{KEY}"', [KEY]),
+        (f"password{' ' * 300}= '{KEY}'", [KEY]),
+        ('secret_key = "q7Zx9LmN2vB4kT8ssample9"', ["q7Zx9LmN2vB4kT8ssample9"]),
+        ("token = todo9Zk2LqW81", ["todo9Zk2LqW81"]),
+        ('passphrase = "correct horse battery staple"', ["correct horse battery staple"]),
+        ('password = "Enter your password"', []),
+        ('api_key = "your-api-key-here"', []),
+        ('password = "${DB_PASS}"', []),
+        ('password = "$ecretP4ss"', ["$ecretP4ss"]),
+        (f'a: b = "{KEY}"\npassword = b', [KEY]),
+        (f"http://h/p?x=1;token={KEY}", [KEY]),
+        ("password=abc1$=defghi9", ["abc1$=defghi9"]),
+    ],
+)
+def test_nothing_is_dropped_by_length_or_by_a_word(text, spans):
+    assert [text[a:b] for _, a, b, _ in secret_scan.find_secrets(text)] == spans
+
+
+def program(rng):
+    """A random program with what it assigns, as written: (text, [(name, [(kind, text, start)])])."""
+    names = ["k", "x", "y", "token", "password", "n1", "db_secret"]
+    out, made = "", []
+    for _ in range(rng.randrange(1, 14)):
+        name, terms = rng.choice(names), []
+        out += name + " = "
+        for j in range(rng.choice([1, 1, 1, 2, 3])):
+            out += " + " if j else ""
+            if rng.random() < 0.4:
+                value = "".join(rng.choice("abcXYZ019_$ ") for _ in range(rng.randrange(0, 20)))
+                terms.append(("literal", value, len(out) + 1))
+                out += f'"{value}"'
+            else:
+                value = rng.choice(names + ["unknown"])
+                terms.append(("name", value, len(out)))
+                out += value
+        out += "\n"
+        made.append((name, terms))
+    return out, made
+
+
+def brute_secrets(made):
+    """Every assignment resolved anew by walking the whole program."""
+
+    def source(i, name):
+        before = [j for j in range(i) if made[j][0] == name]
+        after = [j for j in range(i + 1, len(made)) if made[j][0] == name]
+        return before[-1] if before else after[0] if after else None
+
+    edges = [[s for kind, v, _ in terms if kind == "name" and (s := source(i, v)) is not None] for i, (_, terms) in enumerate(made)]
+
+    def reach(i):
+        seen, todo = set(), [i]
+        while todo:
+            for j in edges[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        return seen
+
+    reached = [reach(i) for i in range(len(made))]
+
+    def parts(i):
+        circle = sorted({i} | {j for j in reached[i] if i in reached[j]})
+        out = []
+        for j in circle:
+            for kind, v, _ in made[j][1]:
+                if kind == "literal":
+                    out.append(v)
+                elif (s := source(j, v)) is not None and s not in circle:
+                    out += parts(s)
+        return out
+
+    best = {}
+    for i, (name, terms) in enumerate(made):
+        sensitive = secret_scan.name_score(name)
+        if sensitive < 50:
+            continue
+        if [k for k, _, _ in terms] == ["name"] and source(i, terms[0][1]) is None:
+            continue  # a bare word: no digit in the names here
+        total = secret_scan.Look()
+        for v in parts(i):
+            total.add(secret_scan.look_of(v, True))
+        score = sensitive * total.score() // 100
+        if score >= secret_scan.LEAST_SCORE:
+            for j in {i} | reached[i]:
+                for kind, v, at in made[j][1]:
+                    if kind == "literal" and v and score > best.get(at, (0, "", 0))[0]:
+                        best[at] = (score, name, at + len(v))
+    return [(name, at, stop, score) for at, (score, name, stop) in sorted(best.items())]
+
+
+def test_secrets_equal_a_brute_force_resolver(spark):
+    """Row for row over a table of random programs, circles and doubled names among them."""
+    rng = random.Random(21)
+    programs = [program(rng) for _ in range(1500)]
+    want = [(i, *f) for i, (_, made) in enumerate(programs) for f in brute_secrets(made)]
+    docs = frame(spark, [t for t, _ in programs])
+    from pyspark.sql import functions as F
+
+    got = sorted(tuple(r) for r in docs.select("doc_id", F.explode(secret_scan.findings()).alias("f")).select("doc_id", "f.*").collect())
+    assert [(i, name, start, stop, score) for i, name, start, stop, score in got] == sorted(want) and len(want) > 500
+
+
+@pytest.mark.parametrize(
+    "text, n",
+    [
+        (f'k = "{KEY}"\n' + "k = k\n" * 5000 + "token = k\n" * 5000, 1),
+        ("token=token=" * 10_000, 0),
+        ('":' * 20_000, 0),
+        ("".join(f"v{i} = v{i + 1} + v{i + 1}\n" for i in range(3000)) + f'v3000 = "{KEY}"\ntoken = v0', 1),
+        ("x" * 1_000_000 + " = 1", 0),
+    ],
+)
+def test_hostile_texts_take_linear_time(text, n):
+    import time
+
+    began = time.process_time()
+    assert len(secret_scan.find_secrets(text)) == n
+    assert time.process_time() - began < 30
+
+
 def test_redaction_of_a_table(spark):
     df = frame(spark, [f'token = "{KEY}" rest', "plain", None, ""]).withColumnRenamed("source", "redacted")
     rows = secret_scan.redact_secrets(df).orderBy("doc_id").collect()
