@@ -5,16 +5,18 @@ above it. A block's vector is its hashed tag path, its hashed words and a few fi
 punctuation, place on the page). A bidirectional LSTM in NumPy reads the whole sequence and labels every block as main text
 or not in the light of all the others. The page's text is the main blocks, in order, one a line.
 
-Training: weak labels from pages that mark their main part up (``article`` or ``main``), at most ``TRAIN_PAGES`` of them, those of
+Training: weak labels from pages that mark their main part up (``article`` or ``main``), at most ``TRAIN_PAGES`` different rows, those of
 smallest md5 of the id. The marks themselves are left out of the tag path, so the model has to do without them.
 With no marked page there is no model and every block counts as main text.
 
-Scale: one scan, no shuffle; the weights (some 30,000 floats) are broadcast. Pages are scored in groups of like length, at most
+Scale: one scan, no shuffle; the reader goes through a page once, by index, in time linear in it whatever is left open; the weights (some 30,000 floats) are broadcast. Pages are scored in groups of like length, at most
 ``STEPS`` block steps at a time or one page.
 
-Defined edge cases: a null page has null text and no blocks, an empty one empty text; unclosed and stray tags, comments,
-scripts and styles are tolerated; a head ends at its end tag, the first tag that cannot stand in one, or text outside its title;
-entities are decoded; repeated rows are labelled alike.
+Defined edge cases: a null page has null text and no blocks, an empty one empty text, an empty table no rows; stray tags, comments,
+scripts and styles are tolerated; quotes count only after ``=``, and one that is never closed is an ordinary character; a head ends at its end tag, the first tag that cannot stand in one, or text outside its title;
+what an unclosed script, style, comment or tag swallows is what a browser's would (an unclosed template or noscript nothing);
+entities are decoded; long pages are read whole (tag paths keep their ``DEPTH`` innermost tags, and a mark); a block of score exactly 0.5 is not main; repeated rows are labelled alike;
+null ids are kept, but not trained on; only the two columns named are read, extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TRAIN_PAGES, EPOCHS, HIDDEN, STEPS = 200, 8, 24, 40_000
+TRAIN_PAGES, EPOCHS, HIDDEN, STEPS, DEPTH = 200, 8, 24, 40_000, 32
 _TAGS, _WORDS, _FIGURES = 32, 64, 6
 WIDTH = _TAGS + _WORDS + _FIGURES
 
-_TOKEN = re.compile(r"<!--[\s\S]*?(?:-->|$)|<(script|style|template|noscript)\b[\s\S]*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9]*)(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>|$)|<[!?][^>]*(?:>|$)|[^<]+|<", re.I)
-_TITLE = re.compile(r"(?:(?!<body\b|</head\b)[\s\S])*?</title\s*>", re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)")
+_ATTRIBUTE = re.compile(r"[>=]")
+_VALUE = re.compile(r"\s*")
+_UNQUOTED = re.compile(r"[^\s>]*")
+_RAW = {t: re.compile(rf"</{t}(?![a-zA-Z0-9])", re.I) for t in ("script", "style", "template", "noscript")}
+_TITLE = re.compile(r"(</title\s*>)|<body\b|</head\b", re.I)
 _HEAD = frozenset("html head title base basefont bgsound link meta".split())
 _INLINE = frozenset("a abbr b bdi bdo cite code data em font i kbd label mark q s samp small span strong sub sup time u var tt ins del img wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -43,58 +49,126 @@ _MARKS = ("article", "main")
 _SPLIT = re.compile(r"\w+")
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, int, int]]:
+    """(kind, lower-case tag name, start, stop) of what a page is made of; kind: text, open, close or skip."""
+    pos, n = 0, len(page)
+    last = {q: page.rfind(q) for q in "\"'"}
+    nowhere: set[str] = set()  # raw tags without an end from here on
+    while pos < n:
+        at = page.find("<", pos)
+        if at < 0:
+            at = n
+        if at > pos:
+            yield "text", "", pos, at
+            pos = at
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            pos = n if end < 0 else end + 3
+            yield "skip", "", at, pos
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at)
+            pos = n if end < 0 else end + 1
+            yield "skip", "", at, pos
+        elif m := _TAG.match(page, at):
+            pos = m.end()
+            while a := _ATTRIBUTE.search(page, pos):
+                pos = a.end()
+                if a[0] == ">":
+                    break
+                pos = _VALUE.match(page, pos).end()
+                quote = page[pos : pos + 1]
+                if quote and quote in "\"'" and last[quote] > pos:
+                    pos = page.find(quote, pos + 1) + 1
+                else:
+                    pos = _UNQUOTED.match(page, pos).end()
+            else:
+                pos = n
+            tag = m[2].lower()
+            if tag in _RAW and not m[1]:
+                end = None if tag in nowhere else _RAW[tag].search(page, pos)
+                if end:
+                    close = page.find(">", end.end())
+                    pos = n if close < 0 else close + 1
+                elif tag in ("script", "style"):
+                    pos = n
+                else:
+                    nowhere.add(tag)
+                yield "skip", "", at, pos
+            elif tag in _RAW:
+                yield "skip", "", at, pos
+            else:
+                yield "close" if m[1] else "open", tag, at, pos
+        else:
+            pos = at + 1
+            yield "text", "", at, pos
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path of open block tags, text, characters of it inside links) of each leaf block."""
+    """(path of open block tags, text, characters of it inside links) of each leaf block.
+
+    The path has the innermost DEPTH tags, and a mark of the main part first if one is open farther out.
+    """
     out, path, parts, link, links = [], [], [], 0, 0
+    opened: dict[str, int] = {}
     head, open_title, titled = False, False, 0  # in a head, in a title without end, end of the last title
+    ahead: tuple[int, int] = (-1, 0)  # start and, if it is one, end of the next title's end: searched once
 
     def flush() -> None:
         nonlocal links
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((tuple(path), text, min(links, len(text))))
+            own = tuple(path[-DEPTH:])
+            mark = next((t for t in _MARKS if opened.get(t)), None)
+            out.append(((mark, *own) if mark and not any(t in _MARKS for t in own) else own, text, min(links, len(text))))
         parts.clear()
         links = 0
 
-    for m in _TOKEN.finditer(page):
-        if m.start() < titled:
+    def leave() -> str:
+        tag = path.pop()
+        opened[tag] -= 1
+        return tag
+
+    for kind, tag, start, stop in tokens(page):
+        if start < titled:
             continue
-        tag = m[3]
-        if tag is None and head and m[1] is None and not m[0].startswith(("<!", "<?")) and not m[0].isspace():
+        if kind == "text" and head and not page[start:stop].isspace():
             if open_title:
                 continue
             head = False
-        if tag is None:
-            if m[1] is None and not m[0].startswith(("<!", "<?")):
-                parts.append(m[0])
-                links += len(m[0]) if link else 0
-            else:
-                parts.append(" ")
+        if kind == "text":
+            parts.append(page[start:stop])
+            links += stop - start if link else 0
+            continue
+        if kind == "skip":
+            parts.append(" ")
             continue
-        tag = tag.lower()
         if tag == "head":
-            head, open_title = not m[2], False
+            head, open_title = kind == "open", False
             parts.append(" ")
             continue
-        if head and (tag in _HEAD if not m[2] else tag not in ("body", "html", "br")):
-            if tag == "title" and not m[2] and not open_title:
-                close = _TITLE.match(page, m.end())
-                titled, open_title = close.end() if close else 0, not close
+        if head and (tag in _HEAD if kind == "open" else tag not in ("body", "html", "br")):
+            if tag == "title" and kind == "open" and not open_title:
+                if ahead[0] < stop:
+                    m = _TITLE.search(page, stop)
+                    ahead = (m.start(), m.end() if m[1] else 0) if m else (len(page), 0)
+                titled, open_title = ahead[1], not ahead[1]
             continue
         head = False
         if tag in _INLINE:
             if tag == "a":
-                link = 0 if m[2] else 1
+                link = int(kind == "open")
             continue
         flush()
-        if m[2]:
-            if tag in path:
-                while path.pop() != tag:
+        if kind == "close":
+            if opened.get(tag):
+                while leave() != tag:
                     pass
         elif tag not in _VOID:
             while path and path[-1] in _CLOSES.get(tag, ()):
-                path.pop()
+                leave()
             path.append(tag)
+            opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out
 
@@ -280,10 +354,15 @@ def label_pages(pages: list[str | None], model: Labeller | None, vectors: Vector
 
 
 def training_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", limit: int = TRAIN_PAGES) -> list[str]:
-    marked = pages.where(F.col(id_col).isNotNull() & F.lower(html_col).rlike("<(article|main)[ >]")).select(F.col(id_col).alias("i"), F.md5(F.col(id_col).cast("string")).alias("h"))
-    ids = [r["i"] for r in marked.orderBy("h", "i").limit(limit).collect()]  # the bound on labelled rows
-    rows = pages.where(F.col(id_col).isin(ids)).select(F.col(id_col).alias("i"), F.col(html_col).alias("page")).collect() if ids else []
-    return [r["page"] for r in sorted(rows, key=lambda r: (r["i"], r["page"] or "")) if r["page"]]
+    """At most ``limit`` different labelled rows, however often an id or a row repeats."""
+    rows = pages.select(F.col(id_col).alias("i"), F.col(html_col).alias("page")).where(F.col("i").isNotNull() & F.lower("page").rlike("<(article|main)[ >]"))
+    keyed = rows.withColumns({"h": F.md5(F.col("i").cast("string")), "x": F.md5("page")})
+    chosen = [(r["i"], r["x"]) for r in keyed.groupBy("h", "i", "x").count().orderBy("h", "i", "x").limit(limit).collect()]  # the bound on labelled rows
+    if not chosen:
+        return []
+    wanted = keyed.where(F.col("i").isin([i for i, _ in chosen]) & F.col("x").isin([x for _, x in chosen])).dropDuplicates(["i", "x"])
+    by_key = {(r["i"], r["x"]): r["page"] for r in wanted.orderBy("h", "i", "x").limit(limit).collect()}
+    return [by_key[k] for k in sorted(chosen) if k in by_key]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

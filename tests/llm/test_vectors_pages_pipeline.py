@@ -160,6 +160,78 @@ def test_a_head_without_end_ends_where_the_body_begins(head, rest):
     assert html_extract.blocks("<head><title>x") == [] and html_extract.blocks("<head>" + "<title>" * 50_000) == []
 
 
+def plain_scores(model, x):
+    """One page at a time, one block at a time, in double precision: the recurrence as written down."""
+    w = {k: v.astype(np.float64) for k, v in model.w.items()}
+    h, sides = model.h, {}
+    squash = lambda z: 1 / (1 + np.exp(-z))
+    for d in "fb":
+        hid, cell, out = np.zeros(h), np.zeros(h), [None] * len(x)
+        for t in range(len(x)) if d == "f" else reversed(range(len(x))):
+            z = x[t].astype(np.float64) @ w["x" + d] + w["c" + d] + hid @ w["h" + d]
+            cell = squash(z[h : 2 * h]) * cell + squash(z[:h]) * np.tanh(z[3 * h :])
+            hid = squash(z[2 * h : 3 * h]) * np.tanh(cell)
+            out[t] = hid
+        sides[d] = out
+    return [float(squash(np.concatenate([f, b]) @ w["o"] + w["q"][0])) for f, b in zip(sides["f"], sides["b"])]
+
+
+def test_the_query_equals_a_plain_page_at_a_time_labeller(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    model = html_extract.fit(html_extract.training_pages(pages))
+    got = {r["page_id"]: r for r in html_extract.op10_html_extraction(spark, sf).collect()}
+    rows, vectors, sure = pages.collect(), html_extract.Vectors(), 0
+    assert len(got) == len(rows)
+    for r in rows:
+        found = html_extract.blocks(r["html"])
+        p = plain_scores(model, vectors.page(found))
+        assert got[r["page_id"]]["n_blocks"] == len(found)
+        if all(abs(v - 0.5) > 1e-4 for v in p):
+            sure += 1
+            main = [t for (_, t, _), v in zip(found, p) if v > 0.5]
+            assert (got[r["page_id"]]["n_main"], got[r["page_id"]]["text"]) == (len(main), "\n".join(main))
+    assert sure >= 0.95 * len(rows)
+
+
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<html><head><title>x</title><meta charset=utf-8><body><p>hello</p>", ["hello"]),
+        ("<p class=it's>text it's</p>" * 3001, ["text it's"] * 3001),
+        ('<p class="a>lost</p><p>kept</p>', ["lost", "kept"]),
+        ("<p title='a>b'>c</p><p x=\"1\" y = '2>'>d", ["c", "d"]),
+        ("<template>a<p>b", ["a", "b"]),
+        ("<noscript><p>no</p></noscript><p>yes", ["yes"]),
+        ("a < b <3 c", ["a < b <3 c"]),
+        ("<script>if (a<b) '</p>'</script><p>x", ["x"]),
+    ],
+)
+def test_nothing_is_lost_to_a_stray_quote_or_tag(page, texts):
+    assert [t for _, t, _ in html_extract.blocks(page)] == texts
+
+
+@pytest.mark.parametrize("page", ['<p class="a>text' * 60_000, "<a href='x" * 90_000, "<div>" * 200_000 + "x", "<div>" * 50_000 + "</foo>" * 50_000, "<head><title>" * 50_000, "<template>a" * 50_000, "<" * 500_000])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_extract.blocks(page)
+    assert time.process_time() - began < 30
+
+
+def test_a_very_long_page_and_extra_columns(spark):
+    long = "<nav>menu</nav>" + "".join(f"<p>Sentence {i}, with words. And more of them.</p>" for i in range(30_000))
+    rows = [(1, "u", long), (2, "u", "<article><p>Sentence one, with words.</p></article>"), (2, "u", "<article><p>Sentence one, with words.</p></article>")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "'x' as i", "'x' as page", "'x' as h", "'x' as x", "1 as n_blocks", "'x' as text", "'x' as `a.b`")
+    got = {r["page_id"]: r for r in html_extract.extract(df).collect()}
+    assert got[1]["n_blocks"] == 30_001 and got[1]["text"].count("\n") == got[1]["n_main"] - 1 and html_extract.extract(df).columns == ["page_id", "n_blocks", "n_main", "text"]
+
+
+def test_training_takes_rows_not_ids(spark):
+    df = spark.createDataFrame([(1, f"<article><p>{i}</article>") for i in range(300)] + [(2, "<main><p>x</main>")] * 50, "page_id bigint, html string")
+    assert len(html_extract.training_pages(df, limit=40)) == 40 and len(html_extract.training_pages(df.where("page_id = 2"))) == 1
+
+
 def test_pages_edges(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<p>only</p>"), (None, "u", "<article><p>x</article>"), (3, "u", "<p>only</p>")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
