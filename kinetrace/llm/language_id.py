@@ -17,7 +17,8 @@ A worker holds about a megabyte of text at a time (or one document, if longer).
 
 Defined edge cases: null, empty and letter-free texts, and all texts when nothing is labelled, are rejected
 (language null, distance null, 0 n-grams); rows without id or label aren't trained on; repeated rows are
-judged alike; characters from U+0250 on share 400 codes.
+judged alike; an empty table gives no rows; long texts are read whole; ties in rank go by length and code point, ties in distance to
+the first language by name; letters of every script have codes of their own; only id, label and text are read, extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,29 +36,37 @@ from kinetrace.llm.textkernel import cut
 RANKS, SAMPLE_PER_LANGUAGE, REJECT = 300, 1000, 0.80
 BANDS, CUTS, MEASURED, BETWEEN = (101, 151, 201, RANKS), (50, 80, 120, 160, None), 100, 0.6
 BROADCAST_ROWS = 500_000
-_SLICE, _DOCS, _EXACT = 1 << 19, 4096, 0x250
+_SLICE, _DOCS = 1 << 19, 4096
+_BITS = 18  # letters lie below U+3FFFF; an n-gram's code is its length and three of them
 _MASK = np.uint64(0xFFFFFFFF)
 
 
 @lru_cache(1)
 def _symbols() -> np.ndarray:
     """Code of each code point after lower-casing: 0 for what isn't a letter, ordered like the code points."""
-    table = np.zeros(0x110000, dtype=np.uint64)
-    for i in range(0x110000):
+    table = np.zeros(0x110000, dtype=np.uint32)
+    for i in range((1 << _BITS) - 1):
         c = chr(i)
         if c.isalpha():
-            low = c.lower()
-            at = ord(low) if len(low) == 1 else i
-            table[i] = at + 1 if at < _EXACT else _EXACT + 2 + at % 400
+            table[i] = ord(c.lower()[0]) + 1
     return table
 
 
+def _grams(sym: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Code of each n-gram of symbols of so many bits: its length, then its symbols."""
+    m = max(0, len(sym) - n + 1)
+    code = np.full(m, n << 3 * bits, dtype=np.uint64)
+    for j in range(n):
+        code |= sym[j : m + j].astype(np.uint64) << np.uint64((2 - j) * bits)
+    return code
+
+
 def _long(text: str) -> tuple[np.ndarray, ...]:
     """Codes and counts of one long text, a bounded piece of it at a time."""
-    sym, last = [], np.uint16(1)
+    sym, last = [], np.uint32(1)
     for low in range(0, len(text) + 2, _SLICE):
         piece = f" {text} "[low : low + _SLICE] if low == 0 else (text + " ")[low - 1 : low - 1 + _SLICE]
-        part = _symbols()[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.uint16)
+        part = _symbols()[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
         keep = part != 0
         keep[1:] |= part[:-1] != 0
         keep[0] |= last != 0 or low == 0
@@ -67,12 +76,9 @@ def _long(text: str) -> tuple[np.ndarray, ...]:
     codes, counts = [], []
     for n in (1, 2, 3):
         for low in range(0, len(sym) - n + 1, _SLICE):
-            m = min(_SLICE, len(sym) - n + 1 - low)
-            code = np.full(m, n << 30, dtype=np.uint64)
-            for j in range(n):
-                code |= sym[low + j : low + j + m].astype(np.uint64) << np.uint64(20 - 10 * j)
+            code = _grams(sym[low : low + _SLICE + n - 1], n, _BITS)
             if n == 1:
-                code = code[sym[low : low + m] != 0]
+                code = code[sym[low : low + _SLICE] != 0]
             u, c = np.unique(code, return_counts=True)
             codes.append(u)
             counts.append(c)
@@ -93,25 +99,38 @@ def ranked(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     keep[1:] |= sym[:-1] != 0
     keep[np.cumsum(sizes) - sizes] = True
     sym, doc = sym[keep], doc[keep]
-    parts = []
+    alphabet = np.flatnonzero(np.bincount(sym, minlength=1)) if len(sym) else np.zeros(1, dtype=np.int64)
+    few = len(alphabet) < 1 << 10  # then the letters of these texts get short codes, in the same order
+    if few:
+        alphabet = alphabet if alphabet[0] == 0 else np.append(0, alphabet)
+        short = np.zeros(int(alphabet[-1]) + 1, dtype=np.uint32)
+        short[alphabet] = np.arange(len(alphabet))
+        sym = short[sym]
+    codes, docs = [], []
     for n in (1, 2, 3):
-        m = len(sym) - n + 1
-        if m <= 0:
-            break
-        code = np.full(m, n << 30, dtype=np.uint64)
-        for j in range(n):
-            code |= sym[j : m + j] << np.uint64(20 - 10 * j)
-        own = doc[:m] == doc[n - 1 :]
-        if n == 1:
-            own = sym != 0
-        parts.append(doc[:m][own] << np.uint64(32) | code[own])
-    key = np.sort(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
+        code = _grams(sym, n, 10 if few else _BITS)
+        own = sym != 0 if n == 1 else doc[: len(code)] == doc[len(doc) - len(code) :]
+        codes.append(code[own])
+        docs.append(doc[: len(code)][own])
+    codes = np.concatenate(codes)
+    known = None
+    if not few:
+        known, codes = np.unique(codes, return_inverse=True)
+        codes = codes.astype(np.uint64)
+    key = np.sort(np.concatenate(docs) << np.uint64(32) | codes)
     head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
     count = np.diff(np.append(head, len(key))).astype(np.uint64)
     key = key[head]
     top = np.uint64((1 << 20) - 1)  # a slice has fewer symbols than that
     packed = np.sort((key >> np.uint64(32)) << np.uint64(52) | (top - count) << np.uint64(32) | key & _MASK)
     of, code, count = packed >> np.uint64(52), packed & _MASK, top - (packed >> np.uint64(32) & top)
+    if few:
+        spelled = code >> np.uint64(30) << np.uint64(3 * _BITS)
+        for j in range(3):
+            spelled |= alphabet[(code >> np.uint64(10 * j) & np.uint64(1023)).astype(np.int64)].astype(np.uint64) << np.uint64(_BITS * j)
+        code = spelled
+    else:
+        code = known[code.astype(np.int64)]
     of = of.astype(np.int64)
     first = np.searchsorted(of, np.arange(len(texts)))
     return of, code, count.astype(np.int64), np.arange(len(of)) - first[of]

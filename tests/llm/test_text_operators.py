@@ -19,6 +19,25 @@ def test_query_equals_its_sql(spark, sf, name):
     assert compare(spark, name, queries.QUERIES[name], queries.ORACLE_SQL[name], sf) == ""
 
 
+def test_language_id_equals_its_sql_in_every_script(spark, tmp_path):
+    """Greek, Cyrillic, Arabic, Chinese, Japanese, mixed and supplementary letters, nulls, empties and extra columns."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(31)
+    scripts = {
+        "el": "αβγδεζηθικλμνξοπρστυφχψωΑΒΓΔΣ ςά", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюяАБВ  ", "ar": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي  ", "zh": "".join(chr(0x4E00 + 7 * i) for i in range(1500)) + "。 ",
+        "ja": "".join(chr(0x3041 + i) for i in range(80)) + "".join(chr(0x30A1 + i) for i in range(80)) + "漢字仮名交文 、", "en": "abcdefghijklmnopqrstuvwxyz  .1-'", "ext": "".join(chr(0x20000 + i) for i in range(500)) + " ",
+    }
+    rows = []
+    for lang, letters in scripts.items():
+        for _ in range(25):
+            rows.append((len(rows), "".join(rng.choice(letters) for _ in range(rng.randrange(0, 900))), lang))
+    rows += [(len(rows) + i, t, None) for i, t in enumerate(["", None, "123 ?!", "漢字 and Latin και ελληνικά", "".join(chr(0x4E00 + i) for i in range(3000)), "x"])]
+    ids, texts, langs = zip(*rows)
+    pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "lang": pa.array(langs, pa.string()), "code": ["x"] * len(rows), "half": ["y"] * len(rows)}), tmp_path / "documents.parquet")
+    assert compare(spark, "op5_language_id", language_id.op5_language_id, language_id.SQL, str(tmp_path)) == ""
+
+
 def test_profiles_identify_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     profiles = language_id.train(docs.where("doc_id % 2 = 0"))
