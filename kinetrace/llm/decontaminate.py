@@ -2,7 +2,7 @@
 
 Question: which documents hold at least ``THRESHOLD`` of a test item's 5-word shingles? Items are short and documents
 long, so the Jaccard similarity of the two says little. Both sides are therefore partitioned by size: items by
-the power of two ``u`` above their number of shingles, and for each such class every document is cut into consecutive
+the power of two ``u`` (from 1 on) not under their number of shingles, and for each such class every document is cut into consecutive
 blocks of ``u`` shingles, which makes a containment bound a Jaccard bound that holds for any length of document. An item
 and a block that agree in any of ``PERMUTATIONS`` minima are a candidate (bands of one row: there are few
 items, so selectivity comes from the shingles themselves). An item that is spread over several blocks has a chance in
@@ -15,8 +15,9 @@ Scale: one scan of the documents, no shuffle; items are broadcast in slices of a
 larger benchmark takes further scans. Nothing else is sent.
 
 Defined edge cases: null or word-free texts match nothing, on either side; a text of fewer than five words has one
-shingle, all of its words; items that repeat each give their own pair; null ids are kept in the pairs; repeated
-document rows give repeated pairs.
+shingle, all of its words, so an item that short is found in documents that are equal to it; items that repeat each give their own pair; null ids are kept in the pairs, ids of
+any type come back as they were; repeated document rows give repeated pairs; an empty table on either side gives no pairs; long texts are searched whole, about a megabyte
+at a time; containment of exactly the threshold counts; extra columns are ignored, or kept by the filter, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kinetrace.llm.textkernel import shingles, words
 
-SHINGLE, THRESHOLD, MISS, BASE = 5, 0.5, 0.001, 8
+SHINGLE, THRESHOLD, MISS = 5, 0.5, 0.001
 SLICE_SHINGLES = 2_000_000
 
 
@@ -62,13 +64,14 @@ class ItemIndex:
         by_level: dict[int, list[int]] = {}
         for i, s in enumerate(shingle_sets):
             if len(s):
-                by_level.setdefault(max(0, math.ceil(math.log2(len(s) / BASE))), []).append(i)
+                by_level.setdefault((len(s) - 1).bit_length(), []).append(i)
         self.levels = {}
         for level, ids in by_level.items():
-            low = [(self.sets[i] >> np.uint64(32)).astype(np.uint32) for i in ids]
+            low = (np.concatenate([self.sets[i] for i in ids]) >> np.uint64(32)).astype(np.uint32)
+            first = np.cumsum([0] + [len(self.sets[i]) for i in ids[:-1]])
             tables = []
             for p in range(self.n_perm):
-                v = np.array([(x * self.a[p] + self.b[p]).min() for x in low], dtype=np.uint32)
+                v = np.minimum.reduceat(low * self.a[p] + self.b[p], first)
                 order = np.argsort(v, kind="stable")
                 seen = np.zeros(1 << 16, dtype=bool)
                 seen[v & np.uint32(0xFFFF)] = True
@@ -77,15 +80,15 @@ class ItemIndex:
 
     def find(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
         """(row, item's position, shared shingles, item's shingles) of each contained item."""
-        top = max(self.levels, default=-1)
+        bottom, top = min(self.levels, default=0), max(self.levels, default=-1)
         for w in words(texts) if self.levels else ():
             x, at = shingles(w, SHINGLE)
             if not len(x):
                 continue
             low, work = (x >> np.uint64(32)).astype(np.uint32), np.empty(len(x), dtype=np.uint32)
             shape, starts, count = [], at[:-1], np.diff(at)
-            for level in range(top + 1):
-                cuts, n = _up(starts, count, BASE if level == 0 else 2)
+            for level in range(bottom, top + 1):
+                cuts, n = _up(starts, count, 1 << bottom if level == bottom else 2)
                 shape.append((cuts, np.repeat(np.arange(w.n_docs), n)))
                 starts, count = np.cumsum(n) - n, n
             pairs: set[tuple[int, int]] = set()
@@ -93,7 +96,7 @@ class ItemIndex:
                 np.multiply(low, self.a[p], out=work)
                 np.add(work, self.b[p], out=work)
                 least = work
-                for level, (cuts, doc) in enumerate(shape):
+                for level, (cuts, doc) in enumerate(shape, bottom):
                     least = np.minimum.reduceat(least, cuts)
                     if level in self.levels:
                         values, ids, seen = self.levels[level][p]
@@ -131,12 +134,12 @@ def item_slices(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, shared_shingles, item_shingles) for every document and item that it contains."""
     spark = docs.sparkSession
-    id_type = dict(items.dtypes)["item_id"]
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {id_type}, shared_shingles int, item_shingles int"
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, shared_shingles int, item_shingles int"
     source = docs.select("doc_id", F.lower("text").alias("text"))
     out = spark.createDataFrame([], schema)
     for ids, sets in item_slices(items, "item_id", "text"):
-        known = spark.sparkContext.broadcast((ids, ItemIndex(sets, threshold)))
+        names = pa.array([bytes(i) if isinstance(i, bytearray) else i for i in ids], type=to_arrow_type(items.schema["item_id"].dataType))
+        known = spark.sparkContext.broadcast((names, ItemIndex(sets, threshold)))
 
         def scan(it: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             names, index = known.value
@@ -144,7 +147,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
                 found = list(index.find(b.column(1)))
                 rows = pa.array([f[0] for f in found], type=pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(rows), pa.array([names[f[1]] for f in found], type=_arrow(id_type))] + [pa.array([f[i] for f in found], type=pa.int32()) for i in (2, 3)],
+                    [b.column(0).take(rows), names.take(pa.array([f[1] for f in found], type=pa.int64()))] + [pa.array([f[i] for f in found], type=pa.int32()) for i in (2, 3)],
                     names=["doc_id", "item_id", "shared_shingles", "item_shingles"],
                 )
 
@@ -152,10 +155,6 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     return out
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that contain an item; all columns stay, nothing is shuffled. Null texts stay."""
     spark = docs.sparkSession

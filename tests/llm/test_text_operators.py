@@ -115,6 +115,34 @@ def test_decontamination_finds_what_brute_force_finds(spark):
     assert clean == set(range(len(texts))) - {d for d, _ in found}
 
 
+@pytest.mark.parametrize("kind", ["smallint", "int", "decimal(20,2)", "binary", "string", "date", "double"])
+def test_item_ids_of_any_type(spark, kind):
+    from pyspark.sql import functions as F
+
+    bench = spark.createDataFrame([(20240101, "alpha beta gamma delta epsilon zeta"), (None, "one two three four five six")], "n int, text string")
+    typed = {"date": F.to_date(F.col("n").cast("string"), "yyyyMMdd"), "binary": F.col("n").cast("string").cast("binary"), "smallint": (F.col("n") % 1000).cast("smallint")}.get(kind, F.col("n").cast(kind))
+    bench = bench.select(typed.alias("item_id"), "text")
+    docs = frame(spark, ["x alpha beta gamma delta epsilon zeta y", "one two three four five six", "none"])
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("decimal(10,0)"))
+    rows = decontaminate.contained_items(docs, bench)
+    want = {(0, r["item_id"] and str(r["item_id"])) for r in bench.where("n is not null" if "n" in bench.columns else "item_id is not null").collect()} | {(1, None)}
+    assert {(int(r["doc_id"]), r["item_id"] and str(r["item_id"])) for r in rows.collect()} == want and dict(rows.dtypes)["item_id"] == kind
+
+
+def test_tiny_items_inside_long_documents(spark):
+    """Items of one to eight shingles, whole and half present: none is missed."""
+    rng = random.Random(13)
+    items = [" ".join(f"i{k}w{j}" for j in range(5 + k % 8)) for k in range(160)]
+    docs = []
+    for k, t in enumerate(items):
+        w = t.split()
+        n = 5 + (max(1, (len(w) - 4 + 1) // 2) - 1) if k % 2 else len(w)
+        docs.append(prose(rng, rng.randrange(100, 900), 500_000) + " " + " ".join(w[:n]) + " " + prose(rng, rng.randrange(100, 900), 500_000))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contained_items(frame(spark, docs), bench).collect()}
+    assert len(got & {(k, k) for k in range(160)}) >= 159 and all(a == b for a, b in got)
+
+
 def test_large_benchmarks_take_several_scans(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SLICE_SHINGLES", 10)
     bench = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i} e{i} f{i} g{i}") for i in range(20)], "item_id bigint, text string")
@@ -405,8 +433,10 @@ def test_packing_of_a_table(spark):
     rng = random.Random(6)
     texts = [prose(rng, rng.randrange(0, 500)) for _ in range(300)] + [None, "", prose(rng, 9000), prose(rng, 2048 // 2)]
     df = frame(spark, texts, [*range(300), None, None, 7, 7])
+    bins = {}
     for group_rows in (10_000, 40):
         rows = packing.pack(df, group_rows=group_rows).collect()
+        bins[group_rows] = len({r["bin"] for r in rows if r["bin"] is not None})
         fill = collections.Counter()
         for r in rows:
             fill[r["bin"]] += r["size"]
@@ -416,6 +446,21 @@ def test_packing_of_a_table(spark):
         assert all(r["start"] == r["piece"] * packing.CAPACITY for r in rows)
     full = sum(v for b, v in fill.items() if b is not None)
     assert packing.pack(df.limit(0)).count() == 0 and full
+    assert bins[40] <= bins[10_000] + 2  # the edges of eight groups
+
+
+def test_packing_keeps_ids_and_spreads_repeated_rows(spark):
+    from pyspark.sql import functions as F
+
+    big = 1152921504606846977
+    df = frame(spark, ["a b c"] * 4, [big, None, None, big + 1])
+    assert sorted(r["doc_id"] or 0 for r in packing.pack(df).collect()) == [0, 0, big, big + 1]
+    assert {str(r["doc_id"]) for r in packing.pack(df.withColumn("doc_id", F.col("doc_id").cast("decimal(25,3)"))).collect()} == {"None", f"{big}.000", f"{big + 1}.000"}
+    same = frame(spark, ["one two three"] * 500, [None] * 500)
+    rows = packing.pack(same, group_rows=50).collect()
+    assert len(rows) == 500 and sum(r["size"] for r in rows) == 1500 and max(collections.Counter(r["bin"] for r in rows).values()) < 100  # no hot group
+    wide = packing.pack(frame(spark, ["w " * 1500] * 30), group_rows=10).collect()  # nothing merges: it ends all the same
+    assert len({r["bin"] for r in wide}) == 30
 
 
 @pytest.mark.parametrize("seed", range(5))
