@@ -8,10 +8,12 @@ Scale: the rule needs no more than how many groups there are of each size. Group
 what the heap would do with ``c`` of them is to fill the ``c`` lowest of the loads at which shards could take one; all but
 the last few of these are found at once by bisection, the rest by heap. So the sequential part is one step a distinct
 size (sizes are bounded by the longest group, not by the number of groups), in one task; the groups then find their shard by
-their rank among those of their size, a rank made of offsets by hash bucket so that a frequent size is no hot key.
+their rank among those of their size, a rank made of offsets by hash bucket so that a frequent size is no hot key. Texts are
+read once: what goes on is (id, key, characters), checkpointed.
 
-Defined edge cases: null texts (or null keys of a given group column) are one group; null ids are kept; repeated rows are in
-one group; an empty table gives no rows; groups of equal size are ranked by bucket and key.
+Defined edge cases: null texts (or null keys of a given group column) are one group, apart from empty ones; null ids are kept; repeated rows are in
+one group; an empty table gives no rows; groups of equal size are ranked by bucket and key; long texts count in full; extra columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinetrace.llm.textkernel import cut
+
 SHARDS, BUCKETS = 64, 64
 
 
@@ -69,7 +73,8 @@ def _schedule(shards: int):
 def assign_shards(docs: DataFrame, group: Column | None = None, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, shard, group_size) of every row."""
     key = group if group is not None else F.md5(F.lower(F.trim(F.regexp_replace(text_col, r"\s+", " "))))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(key.cast("string"), F.lit("")).alias("g"), (F.coalesce(F.length(text_col), F.lit(0)) + 1).cast("bigint").alias("chars"))
+    named = F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit(""))
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), named.alias("g"), (F.coalesce(F.length(text_col), F.lit(0)) + 1).cast("bigint").alias("chars")))
     groups = rows.groupBy("g").agg(F.sum("chars").alias("size")).withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(BUCKETS)).cast("int"))
     counts = groups.groupBy("size", "bucket").agg(F.count("*").alias("n"))
     offsets = counts.select("size", "bucket", (F.sum("n").over(Window.partitionBy("size").orderBy("bucket")) - F.col("n")).alias("offset"))

@@ -6,10 +6,12 @@ neighbours are pushed. A pre-token counts as many tokens as it had bytes, less i
 are never looked up or emitted.
 
 Scale: one scan, no shuffle. The vocabulary (under a megabyte) is broadcast. Each worker remembers the counts of up to
-``MEMO`` distinct pre-tokens and forgets all of them beyond that, so its memory is bounded; this never changes a count.
+``MEMO`` distinct pre-tokens of at most ``KEPT`` characters, ``HELD`` characters in all, and forgets all of them beyond that, so its memory is bounded; this
+never changes a count. The pre-tokens of a text of over ``LONG`` characters are taken one by one.
 
 Defined edge cases: a null text has null counts, an empty one 0; repeated rows are counted each; strings of special
-tokens are ordinary text; long texts are counted whole.
+tokens are ordinary text; long texts are counted whole; pairs of one rank are merged from the left; an empty table gives no rows; only
+the text is read, extra columns are of no account.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO = 500_000
+MEMO, KEPT, HELD, LONG = 500_000, 1000, 20_000_000, 1_000_000
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -64,18 +66,24 @@ def count_merged(piece: bytes, ranks: dict[bytes, int]) -> int:
 class Counter(dict):
     """Pre-token -> tokens, worked out when first asked for."""
 
-    def __init__(self, ranks: dict[bytes, int], memo: int = MEMO):
+    def __init__(self, ranks: dict[bytes, int], memo: int = MEMO, held: int = HELD):
         super().__init__()
-        self.ranks, self.memo, self.split = ranks, memo, regex.compile(PATTERN).findall
+        pattern = regex.compile(PATTERN)
+        self.ranks, self.memo, self.most, self.held, self.split, self.each = ranks, memo, held, 0, pattern.findall, pattern.finditer
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= self.memo:
-            self.clear()
-        n = self[piece] = count_merged(piece.encode("utf-8", "surrogatepass"), self.ranks)
+        n = count_merged(piece.encode("utf-8", "surrogatepass"), self.ranks)
+        if len(piece) <= KEPT:
+            if len(self) >= self.memo or self.held > self.most:
+                self.clear()
+                self.held = 0
+            self[piece] = n
+            self.held += len(piece)
         return n
 
     def tokens(self, text: str) -> int:
-        return sum(map(self.__getitem__, self.split(text)))
+        pieces = self.split(text) if len(text) <= LONG else (m[0] for m in self.each(text))
+        return sum(map(self.__getitem__, pieces))
 
 
 _counters: dict[int, Counter] = {}

@@ -393,6 +393,10 @@ def test_the_memo_never_changes_a_count():
     small, large = token_count.Counter(ranks, 3), token_count.Counter(ranks)
     text = " ".join("".join(random.Random(i).choices("ab", k=5)) for i in range(50))
     assert small.tokens(text) == large.tokens(text) and len(small) <= 3
+    tight, long = token_count.Counter(ranks, held=20), "ab" * 5000
+    assert tight.tokens(text + " " + long) == large.tokens(text + " " + long) and tight.held <= 30 and long not in large and " " + long not in large
+    whole = " ".join(["abba baab"] * 120_000)
+    assert len(whole) > token_count.LONG and tight.tokens(whole) == 120_000 * tight.tokens(" abba baab") - 1
 
 
 def brute_packing(sizes, capacity):
@@ -492,6 +496,9 @@ def test_sharding_by_a_given_group(spark):
     df = frame(spark, ["a", "bb", "ccc", "dddd"]).withColumn("source", F.when(F.col("doc_id") < 2, "x"))
     rows = {r["doc_id"]: r["shard"] for r in sharding.assign_shards(df, F.col("source"), 2).collect()}
     assert rows[0] == rows[1] and rows[2] == rows[3] and rows[0] != rows[2]
+    apart = df.withColumn("source", F.when(F.col("doc_id") < 2, "")).withColumn("g", F.lit("x")).withColumn("size", F.lit(1))
+    rows = {r["doc_id"]: r["shard"] for r in sharding.assign_shards(apart, F.col("source"), 2).collect()}
+    assert rows[0] == rows[1] != rows[2] == rows[3]  # null and empty keys are two groups
     assert sharding.assign_shards(df.limit(0)).count() == 0
 
 
