@@ -8,15 +8,21 @@ every chunk with each one of its places left out: that enumerates the allowed ch
 no pair within the radius can be missed. A key is the 48 bits that are left, with the chunk and the place,
 packed in one integer without hashing.
 
+Links: every pair of different signatures within the radius is found once, under the first of its keys, and counted for both
+sides, copies weighing as many as they are; a document's links are the other rows within the radius. The pairs themselves are not
+emitted: a key gives its members' counts and a spanning forest, from which large-star/small-star rounds over checkpointed edges make the components.
+
 Scale: exact copies (one signature) are one node from the start. The key table holds 16 bytes a key; only keys
-with two or more nodes go on to meet signatures. Inside a key, members are compared with
-pivots only until all are linked or proved apart: members already in one component are not compared again,
-which leaves the components as they are and spares the quadratic work of large groups. Components come
-from large-star/small-star rounds over checkpointed edges. No cap on members, partners or candidates.
+with two or more nodes go on to meet signatures, and of keys that file the very same nodes one. Members of a key that has more than
+``BLOCK`` are dealt into blocks, and every two blocks meet in a task of their own, so no task holds more than two blocks. Pairs that have
+met under an earlier key drop out by one comparison of chunks. Counts, fingerprints and smallest ids are aggregates with
+map-side combining and joins that adaptive execution can split; there is no window over a key or a group. No cap on members, partners or candidates.
+Nodes, rows and sets of nodes are told apart by 128 bits.
 
 Defined edge cases: null texts and texts without any word have no signature and are in no group; a text of one
 or two words has one shingle; repeated rows are copies of each other; null ids are allowed (a group is named by
-its smallest non-null id, or null if it has none).
+its smallest non-null id, or null if it has none); ties in the smallest id go to the smaller row key; long texts are read whole, about a
+megabyte at a time; an empty table gives no rows; extra columns are ignored, or kept by ``deduplicate``, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from pyspark.sql import functions as F
 
 from kinetrace.llm.textkernel import cut, fresh, shingles, words
 
-HASHES, BITS, CHUNKS, RADIUS, SHINGLE = 64, 16, 16, 31, 3
+HASHES, BITS, CHUNKS, RADIUS, SHINGLE, BLOCK = 64, 16, 16, 31, 3, 2048
 _PLACES = HASHES // CHUNKS
 _rng = np.random.default_rng(77)
 _A = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -96,33 +102,78 @@ def _keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(node[i : i + 4096], k.shape[1]))], names=["key", "node"])
 
 
-def link(nodes: np.ndarray, sigs: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Edges of one key that give the same components as all pairs within the radius would.
+def link(sigs: np.ndarray, copies: np.ndarray, key: int, side: np.ndarray | None = None, radius: int = RADIUS) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(links of each member, spanning edges) of the pairs within the radius that have ``key`` as the first that they share.
 
-    Breadth-first from a pivot: the nodes that are still apart are compared with each node of the component that is
-    growing; those within the radius join it and leave the rest for good.
+    key: a chunk and the place left out, as ``chunk_keys`` numbers them; every two members share it. side: of two blocks, only
+    pairs across count.
     """
-    edges, rest = [], np.argsort(nodes, kind="stable")
-    while len(rest) > 1:
-        queue, rest = [rest[0]], rest[1:]
-        while queue and len(rest):
-            p = queue.pop()
-            near = np.count_nonzero(sigs[rest] != sigs[p], axis=1) <= radius
-            for q in rest[near]:
-                edges.append((int(nodes[p]), int(nodes[q])))
-            queue.extend(rest[near])
-            rest = rest[~near]
-    return edges
-
-
-def _edges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in it:
-        found: set[tuple[int, int]] = set()
-        for nodes, sigs in zip(b.column("nodes"), b.column("sigs"), strict=True):
-            ids = nodes.values.to_numpy()
-            found.update(link(ids, np.frombuffer(b"".join(sigs.values.to_pylist()), dtype="<u2").reshape(len(ids), HASHES)))
-        pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    chunk, gone = divmod(key, _PLACES)
+    whole = np.ascontiguousarray(sigs).view(np.uint64).reshape(len(sigs), CHUNKS)
+    links, label, edges = np.zeros(len(sigs), dtype=np.int64), np.arange(len(sigs)), []
+    others = np.arange(len(sigs)) if side is None else np.flatnonzero(side)
+    for p in range(len(sigs)) if side is None else np.flatnonzero(~side):
+        q = others[p + 1 :] if side is None else others
+        for c in range(chunk + (gone > 0)):  # equal there: they have met
+            if not len(q):
+                break
+            q = q[whole[q, c] != whole[p, c]]
+        if not len(q):
+            continue
+        errors = (sigs[q] != sigs[p]).reshape(len(q), CHUNKS, _PLACES).sum(2)
+        first = (errors[:, :chunk] > 1).all(1)
+        if gone:
+            first &= errors[:, chunk] == 1
+        q = q[first & (errors.sum(1) <= radius)]
+        links[p] += copies[q].sum()
+        links[q] += copies[p]
+        for x in q[label[q] != label[p]]:
+            if label[x] != label[p]:
+                edges.append((int(p), int(x)))
+                label[label == label[x]] = label[p]
+    return links, edges
+
+
+def _links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, links) of rows sorted by (key, i, j): edges have a b, the counts of a node none."""
+
+    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = t.combine_chunks()
+        key, i, j, sub, node, copies = (t.column(c).to_numpy() for c in ("key", "i", "j", "sub", "node", "copies"))
+        col = t.column("sig").chunk(0)
+        raw = np.frombuffer(col.buffers()[2], dtype=np.uint8)
+        sigs = raw[np.frombuffer(col.buffers()[1], dtype=np.int32)[col.offset] :][: 2 * HASHES * len(col)].view("<u2").reshape(-1, HASHES) if len(col) else np.zeros((0, HASHES), dtype="<u2")
+        edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        a, b, n = [], [], []
+        for lo, hi in zip(edge, np.append(edge[1:], len(key)), strict=True):
+            if hi - lo < 2:
+                continue
+            side = None if i[lo] == j[lo] else sub[lo:hi] == j[lo]
+            links, edges = link(sigs[lo:hi], copies[lo:hi], int(key[lo] >> BITS * (_PLACES - 1)), side)
+            some = np.flatnonzero(links)
+            at = np.array(edges, dtype=np.int64).reshape(-1, 2) + lo
+            a += [node[at[:, 0]], node[lo + some]]
+            b += [node[at[:, 1]], np.full(len(some), -1)]
+            n += [np.zeros(len(at), dtype=np.int64), links[some]]
+        if a:
+            b = np.concatenate(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(b, mask=b < 0), pa.array(np.concatenate(n))], names=["a", "b", "links"])
+
+    held: list[pa.RecordBatch] = []
+    for x in it:
+        if not x.num_rows:
+            continue
+        last = x.slice(x.num_rows - 1)
+        same = np.ones(x.num_rows, dtype=bool)
+        for c in ("key", "i", "j"):
+            same &= x.column(c).to_numpy() == last.column(c)[0].as_py()
+        split = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0  # the last block may go on in the next batch
+        if split or (held and any(held[-1].column(c)[-1].as_py() != last.column(c)[0].as_py() for c in ("key", "i", "j"))):
+            yield from solve(pa.Table.from_batches([*held, x.slice(0, split)]))
+            held = []
+        held.append(x.slice(split))
+    if held:
+        yield from solve(pa.Table.from_batches(held))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -136,44 +187,56 @@ def components(edges: DataFrame) -> DataFrame:
     while (now := state(star)) != before:
         before = now
         both = star.unionAll(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = F.least(F.col("a"), F.min("b").over(Window.partitionBy("a")))
-        large = both.withColumn("m", least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        least = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         pairs = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b")))
         star = cut(pairs.where("a <> b").distinct())
     return star.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(star.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def near_edges(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) among nodes (node BIGINT, sig BINARY, one row a node) that link all that lie within the radius."""
+def near_links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Checkpointed (a, b, links) of nodes (node BIGINT, sig BINARY, copies BIGINT; one row a node): edges that link all that
+    lie within the radius, and (b null) parts of the number of rows that are linked to a node, its own copies apart."""
     keys = nodes.select("node", "sig").mapInArrow(_keys, "key bigint, node bigint")
-    met_by = keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    shared = met_by.groupBy("key").agg(F.collect_list("node").alias("nodes"))
-    # keys that file the very same nodes give the same edges: one of them is enough
-    lists = shared.select(F.array_sort("nodes").alias("nodes")).groupBy(F.xxhash64("nodes").alias("same")).agg(F.first("nodes").alias("nodes"))
-    met = cut(lists).select("same", F.explode("nodes").alias("node")).join(nodes.select("node", "sig"), "node")
-    full = met.groupBy("same").agg(F.collect_list(F.struct("node", "sig")).alias("m")).select(F.col("m.node").alias("nodes"), F.col("m.sig").alias("sigs"))
-    return full.mapInArrow(_edges, "a bigint, b bigint").distinct()
-
-
-def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Checkpointed (doc_id, row_key, node, sig) of every row that has a signature."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row_key"), signature_column(text_col).alias("sig"))
-    return cut(rows.where("sig is not null").withColumn("node", F.xxhash64("sig")))
+    shared = keys.groupBy("key").count().where("count > 1")
+    members = cut(keys.join(shared, "key"))
+    print_of = [F.bit_xor(F.xxhash64("node")).alias("f1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("f2")]
+    sets = members.groupBy("key").agg(F.first("count").alias("n"), *print_of).groupBy("n", "f1", "f2").agg(F.min("key").alias("key"))
+    parts = F.ceil(F.col("n") / block)
+    met = members.join(sets.select("key", "n"), "key").withColumn("sub", F.pmod(F.xxhash64("node", "key"), parts)).join(nodes.select("node", "sig", "copies"), "node")
+    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), parts - 1), lambda t: F.struct(F.least("sub", t).alias("i"), F.greatest("sub", t).alias("j")))
+    dealt = met.withColumn("p", F.explode(pairs)).select("key", "p.i", "p.j", "sub", "node", "copies", "sig")
+    return cut(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_links, "a bigint, b bigint, links bigint"))
+
+
+def _row_key(id_col: str, text_col: str) -> list[Column]:
+    """128 bits that tell rows apart by id and text."""
+    return [F.xxhash64(F.col(id_col), F.lit(0), F.col(text_col)), F.xxhash64(F.lit(1), F.col(id_col), F.lit(0), F.col(text_col))]
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, group_id, group_size, links, root, k1, k2) of every row that has a link."""
+    k1, k2 = _row_key(id_col, text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), k1.alias("k1"), k2.alias("k2"), signature_column(text_col).alias("sig")).where("sig is not null")
+    signed = cut(rows.withColumns({"h1": F.xxhash64("sig"), "h2": F.xxhash64(F.lit(1), "sig")}))
+    once = signed.groupBy("h1", "h2").agg(F.first("sig").alias("sig"), F.count("*").alias("copies"), F.min("doc_id").alias("least"))
+    nodes = cut(once.withColumn("node", F.monotonically_increasing_id()))  # written once, so a number stays
+    found = near_links(nodes)
+    degree = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    roots = components(found.where("b is not null").select("a", "b"))
+    linked = nodes.drop("sig").join(roots, "node", "left").join(degree, "node", "left")
+    linked = cut(linked.select("h1", "h2", "least", "copies", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")).where("links > 0"))
+    groups = linked.groupBy("root").agg(F.min("least").alias("group_id"), F.sum("copies").alias("group_size"))
+    return signed.drop("sig").join(linked.join(groups, "root").select("h1", "h2", "root", "links", "group_id", "group_size"), ["h1", "h2"])
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, group_id, group_size, row_key): every document that has a near or exact copy.
+    """(doc_id, group_id, group_size, links): one row for every document that has a near or exact copy.
 
-    group_id is the smallest doc_id of the connected component, group_size counts its rows.
+    group_id is the smallest doc_id of the connected component, group_size counts its rows, links the other rows within the radius.
     """
-    signed = _signed(docs, id_col, text_col)
-    nodes = signed.groupBy("node").agg(F.first("sig").alias("sig"))
-    roots = components(near_edges(nodes))
-    named = signed.drop("sig").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    whole = Window.partitionBy("root")
-    grouped = named.withColumns({"group_id": F.min("doc_id").over(whole), "group_size": F.count("*").over(whole)})
-    return grouped.where("group_size > 1").select("doc_id", "group_id", "group_size", "root", "row_key")
+    return _grouped(docs, id_col, text_col).select("doc_id", "group_id", "group_size", "links")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,16 +244,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows that repeat both id and text count as one. Rows without a signature stay, unless they repeat each other so.
     """
-    groups = near_duplicate_groups(docs, id_col, text_col).select("doc_id", "root", "row_key").distinct()
-    order = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "row_key")
-    key, nth = fresh(docs, "row_key"), fresh(docs, "nth")
-    gone = groups.withColumn("nth", F.row_number().over(order)).where("nth > 1").select(F.col("row_key").alias(key)).distinct()
-    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
-    left = keyed.join(gone, key, "left_anti")
-    once = left.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(nth) == 1)
+    rows = cut(_grouped(docs, id_col, text_col).select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2").alias("row")))
+    keep = rows.groupBy("root").agg(F.min("row").alias("kept"))
+    k1, k2, nth = fresh(docs, "k1"), fresh(docs, "k2"), fresh(docs, "nth")
+    gone = rows.join(keep, "root").where("row <> kept").select(F.col("row.k1").alias(k1), F.col("row.k2").alias(k2)).distinct()
+    keyed = docs.withColumns(dict(zip((k1, k2), _row_key(id_col, text_col), strict=True)))
+    left = keyed.join(gone, [k1, k2], "left_anti")
+    once = left.withColumn(nth, F.row_number().over(Window.partitionBy(k1, k2).orderBy(k1))).where(F.col(nth) == 1)
     return once.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = near_duplicate_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return groups.select("doc_id", "group_id", "group_size")
+    return near_duplicate_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

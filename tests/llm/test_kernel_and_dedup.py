@@ -70,8 +70,11 @@ def test_all_pairs_within_the_radius_are_linked(spark, copies):
         if np.count_nonzero(sigs[i] != sigs[j]) <= near_dedup.RADIUS:
             root[max(find(i), find(j))] = min(find(i), find(j))
     want = {(i, find(i)) for i in range(len(sigs)) if sum(find(k) == find(i) for k in range(len(sigs))) > 1}
-    got = {(r["doc_id"], r["group_id"]) for r in near_dedup.near_duplicate_groups(frame(spark, copies)).collect()}
-    assert got == want
+    rows = near_dedup.near_duplicate_groups(frame(spark, copies)).collect()
+    got = {(r["doc_id"], r["group_id"]) for r in rows}
+    assert got == want and len(rows) == len(want)
+    links = [sum(np.count_nonzero(x != y) <= near_dedup.RADIUS for y in sigs) - 1 for x in sigs]
+    assert {r["doc_id"]: r["links"] for r in rows} == {i: n for i, n in enumerate(links) if n}
     planted = set(range(20)) | set(range(60, 160))
     assert len({i for i, _ in got} & planted) >= 0.97 * len(planted)
     assert not {i for i, _ in got} & set(range(20, 60))  # clean documents are left alone
@@ -87,24 +90,37 @@ def test_chunk_keys_miss_no_pair_at_the_radius():
     assert all(set(x) & set(y) for x, y in zip(ka, kb))
 
 
-def test_link_gives_the_components_of_all_pairs():
+@pytest.mark.parametrize("block", [5, 1000])
+def test_links_are_those_of_all_pairs(spark, block):
+    """Many near signatures under many shared keys, in one block or dealt into several: counts and components of brute force."""
     rng = np.random.default_rng(4)
-    sigs = rng.integers(0, 3, (40, near_dedup.HASHES)).astype(np.uint16)
-    nodes = np.arange(40)
-    want, got = list(range(40)), list(range(40))
+    base = rng.integers(0, 1 << 16, (3, near_dedup.HASHES), dtype=np.uint16)
+    sigs = base[rng.integers(0, 3, 60)]
+    for row in sigs:
+        at = rng.choice(near_dedup.HASHES, int(rng.integers(0, 24)), replace=False)
+        row[at] = rng.integers(0, 1 << 16, len(at))
+    sigs = np.unique(sigs, axis=0)
+    copies = rng.integers(1, 4, len(sigs))
+    nodes = spark.createDataFrame([(i, bytearray(s.tobytes()), int(c)) for i, (s, c) in enumerate(zip(sigs, copies))], "node bigint, sig binary, copies bigint")
+    found = near_dedup.near_links(nodes, block).collect()
+    near = (sigs[:, None] != sigs[None]).sum(2) <= near_dedup.RADIUS
+    np.fill_diagonal(near, False)
+    got = np.zeros(len(sigs), dtype=int)
+    root = list(range(len(sigs)))
 
-    def find(r, i):
-        while r[i] != i:
-            i = r[i]
+    def find(i):
+        while root[i] != i:
+            i = root[i]
         return i
 
-    for i, j in itertools.combinations(range(40), 2):
-        if np.count_nonzero(sigs[i] != sigs[j]) <= 42:
-            want[find(want, i)] = find(want, j)
-    for i, j in near_dedup.link(nodes, sigs, 42):
-        got[find(got, i)] = find(got, j)
-    same = lambda r: [[find(r, i) == find(r, j) for j in range(40)] for i in range(40)]
-    assert same(want) == same(got)
+    for r in found:
+        if r["b"] is None:
+            got[r["a"]] += r["links"]
+        else:
+            assert near[r["a"], r["b"]]
+            root[max(find(r["a"]), find(r["b"]))] = min(find(r["a"]), find(r["b"]))
+    assert got.tolist() == (near * copies[None]).sum(1).tolist() and near.sum() > 200
+    assert all(find(i) == find(j) for i, j in zip(*np.nonzero(near)))
 
 
 def test_components_of_chains_and_stars(spark):
@@ -123,6 +139,8 @@ def test_near_dedup_edges(spark):
     df = frame(spark, ["a b c d e f", "a b c d e f", None, "", "?!", "a b c d e f", "one", "one"], [3, 3, 4, 5, None, None, 8, 9])
     assert sorted((r["doc_id"] or -1, r["group_id"]) for r in near_dedup.near_duplicate_groups(df).collect()) == [(-1, 3), (3, 3), (3, 3), (8, 8), (9, 8)]
     assert sorted(r["doc_id"] or -1 for r in near_dedup.deduplicate(df).collect()) == [-1, 3, 4, 5, 8]
+    extra = df.selectExpr("*", "1 as k1", "2 as K2", "3 as node", "4 as `a.b`")
+    assert near_dedup.deduplicate(extra).columns == extra.columns and near_dedup.deduplicate(extra).count() == 5
     assert near_dedup.deduplicate(df.limit(0)).count() == 0 and near_dedup.near_duplicate_groups(df.limit(0)).count() == 0
 
 
