@@ -1,4 +1,4 @@
-"""Column expressions shared by the operators. All of them stay inside whole-stage code generation."""
+"""Column expressions shared by the operators. Those on arrays (dot, norm, cosines) are interpreted lambdas; the others stay inside code generation."""
 
 from __future__ import annotations
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +78,20 @@ def longest_series(df: DataFrame, group: Sequence[str], series: str) -> DataFram
     return per.withColumn("_r", nth).where("_r = 1").drop("_r")
 
 
+def _deflated(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for col in it:
+        rows = [None if v is None else np.array(v, dtype="<f4").tobytes() for v in col.to_pylist()]
+        kinds = [("raw", pa.int64()), ("packed", pa.int64())]
+        yield pa.array([None if r is None else {"raw": len(r), "packed": len(zlib.compress(r, 9))} for r in rows], type=pa.struct(kinds))
+
+
+def compression_ratio(df: DataFrame, group: Sequence[str], vector: Column) -> DataFrame:
+    """(group.., ratio): float32 bytes of all vectors over their deflated bytes, vector by vector; 0 where there are none."""
+    size = F.arrow_udf(_deflated, "struct<raw:bigint,packed:bigint>")(vector)
+    sums = df.select(*group, size.alias("_s")).groupBy(*group).agg(F.sum("_s.raw").alias("_r"), F.sum("_s.packed").alias("_p"))
+    return sums.select(*group, F.coalesce(F.col("_r") / F.greatest(F.lit(1), F.col("_p")), F.lit(0.0)).alias("ratio"))
+
+
 def vector_metrics(df: DataFrame, group: Sequence[str], vector: Column, task: Column) -> DataFrame:
     """(group.., samples, numeric_samples, dim_mean, energy_mean, task_diversity); energy is the Euclidean norm."""
     some = F.size(F.coalesce(vector, F.array())) > 0

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Runs that a group is split into before its ranks are looked for.
+BUCKETS = 200
+
 
 def spread(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
     """(by.., metric, min, median, max) of several columns in one pass; NaN doesn't take part."""
@@ -15,12 +18,42 @@ def spread(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame
     return df.groupBy(*by).agg(F.array(*aggs).alias("_m")).select(*by, F.inline("_m"))
 
 
+def order_statistics(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """(by.., n, r0, r1 ..): the elements of each group's sorted values at the indexes (n - 1) * share, where those are
+    between two, the lower and the upper in turn: r0 and r1 for the first share, and so on. Exact.
+
+    No group is held anywhere: equal values are counted, a sketch splits each group into about BUCKETS runs, their
+    totals tell in which run an index lies, and only such runs are sorted.
+    """
+    by = list(by)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    grid = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
+    cuts = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.array_distinct(F.percentile_approx(value, grid, 10 * BUCKETS)).alias("_cuts"))
+    at = [f((F.col("n") - 1) * F.lit(q)).cast("bigint") for q in shares for f in (F.floor, F.ceil)]
+    same = [F.col(c) for c in by]
+    placed = counts.join(cuts.withColumn("_at", F.array(*at)), by).withColumn("_run", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))) if by else counts.crossJoin(cuts.withColumn("_at", F.array(*at))).withColumn("_run", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
+    runs = placed.groupBy(*by, "_run").agg(F.sum("_c").alias("_m"))
+    before = runs.withColumn("_before", F.sum("_m").over(Window.partitionBy(*same).orderBy("_run")) - F.col("_m"))
+    wanted = placed.join(before, [*by, "_run"]).where(F.exists("_at", lambda i: (i >= F.col("_before")) & (i < F.col("_before") + F.col("_m"))))
+    last = F.col("_before") + F.sum("_c").over(Window.partitionBy(*same, "_run").orderBy("_v"))
+    ends = wanted.withColumn("_last", last)
+    pick = [F.max(F.when((F.get("_at", F.lit(i)) < F.col("_last")) & (F.get("_at", F.lit(i)) >= F.col("_last") - F.col("_c")), F.col("_v"))).alias(f"r{i}") for i in range(len(at))]
+    return ends.groupBy(*by, "n").agg(*pick)
+
+
 def percentiles(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """(by.., n, p50, p95, p50_rank, p95_rank): interpolated, and the element at the rounded index of the sorted values."""
-    v = F.col(value)
-    per = df.groupBy(*by).agg(F.count(v).alias("n"), F.percentile(v, F.array(F.lit(0.5), F.lit(0.95))).alias("_p"), F.sort_array(F.collect_list(v)).alias("_s"))
-    rank = lambda q: F.get("_s", F.rint((F.col("n") - 1) * F.lit(q)).cast("int"))
-    return per.select(*by, "n", F.get("_p", F.lit(0)).alias("p50"), F.get("_p", F.lit(1)).alias("p95"), rank(0.5).alias("p50_rank"), rank(0.95).alias("p95_rank"))
+    o = order_statistics(df, by, value, [0.5, 0.95])
+    place = lambda q: (F.col("n") - 1) * F.lit(q)
+    between = lambda q, lo, hi: F.col(lo) + (F.col(hi) - F.col(lo)) * (place(q) - F.floor(place(q)))
+    nearest = lambda q, lo, hi: F.when(F.rint(place(q)) == F.floor(place(q)), F.col(lo)).otherwise(F.col(hi))
+    return o.select(*by, "n", between(0.5, "r0", "r1").alias("p50"), between(0.95, "r2", "r3").alias("p95"), nearest(0.5, "r0", "r1").alias("p50_rank"), nearest(0.95, "r2", "r3").alias("p95_rank"))
+
+
+def rank_by_median(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, median, rank): the largest median first, ties by name; one row a name."""
+    o = order_statistics(df, [by], value, [0.5]).select(by, "n", ((F.col("r0") + F.col("r1")) / 2).alias("median"))
+    return o.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("median"), by)))
 
 
 def regressions(df: DataFrame, key: str, anchor: dict[str, Column], higher_is_worse: dict[str, bool]) -> DataFrame:
@@ -56,10 +89,13 @@ def issues(ratio: Column, anchor: Column, exact: Column, b3: Column) -> Column:
     return F.array_compact(F.array(F.when(ratio < anchor, "ratio below anchor"), F.when(~exact, "replay not bit exact"), F.when(~b3, "B3 open")))
 
 
-def sweep_status(df: DataFrame, least: int, least_families: int) -> DataFrame:
-    """(datasets, families, status): PASS with enough datasets of enough families."""
-    per = df.agg(F.count("*").alias("datasets"), F.countDistinct("family").alias("families"))
-    return per.withColumn("status", F.when((F.col("datasets") >= least) & (F.col("families") >= least_families), "PASS").otherwise("FAIL"))
+def sweep_status(df: DataFrame, least: int, least_families: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by.., datasets, families, issues, status): PASS with enough datasets of enough families, else what is wrong."""
+    per = df.groupBy(*by).agg(F.count("*").alias("datasets"), F.countDistinct("family").alias("families"))
+    few = F.when(F.col("datasets") < least, F.format_string("%d datasets, %d wanted", "datasets", F.lit(least)))
+    alike = F.when(F.col("families") < least_families, F.format_string("%d families, %d wanted", "families", F.lit(least_families)))
+    out = per.withColumn("issues", F.array_compact(F.array(few, alike)))
+    return out.withColumn("status", F.when(F.size("issues") == 0, "PASS").otherwise("FAIL"))
 
 
 def claims(df: DataFrame, key: str, metric: str, sense: str, threshold: str) -> DataFrame:
@@ -78,7 +114,12 @@ def is_subset(part: DataFrame, whole: DataFrame, keys: Sequence[str]) -> DataFra
     return part.select(*keys).distinct().join(whole.select(*keys).distinct(), list(keys), "left_anti").agg(F.count("*").alias("missing")).withColumn("is_subset", F.col("missing") == 0)
 
 
-def replay_hash(df: DataFrame, by: Sequence[str], order: Sequence[str], line: Column) -> DataFrame:
-    """(by.., rows, sha256): hash of the ordered canonical lines of each group, equal for equal content."""
+def replay_hash(df: DataFrame, by: Sequence[str], order: Sequence[str], line: Column, chunk: Column) -> DataFrame:
+    """(by.., rows, sha256): hash of each group's ordered canonical lines, equal for equal content.
+
+    ``chunk`` cuts a group into runs of the order, each small enough for one task (a key divided by a constant); a run's
+    lines are hashed, and the group's hash is that of its runs' hashes in order, 64 characters a run.
+    """
     lines = F.array_sort(F.collect_list(F.struct(*order, line.alias("line"))))["line"]
-    return df.groupBy(*by).agg(F.count("*").alias("rows"), F.sha2(F.concat_ws("\n", lines), 256).alias("sha256"))
+    runs = df.groupBy(*by, chunk.alias("_run")).agg(F.count("*").alias("_n"), F.sha2(F.concat_ws("\n", lines), 256).alias("_h"))
+    return runs.groupBy(*by).agg(F.sum("_n").alias("rows"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.struct("_run", "_h")))["_h"]), 256).alias("sha256"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -15,6 +18,25 @@ def session(app: str = "kinetrace", master: str | None = None, **conf: str) -> S
         "spark.sql.ansi.enabled": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.showConsoleProgress": "false",
     } | conf
     return builder.config(map=settings).getOrCreate()
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors see; only on one machine a temporary one stands in for it."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+        root = tempfile.mkdtemp(prefix="kinetrace-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

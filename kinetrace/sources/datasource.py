@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -17,6 +18,11 @@ from kinetrace.sources import bags, wire
 FILES_A_PARTITION = 64
 
 
+def filesystem(address: str) -> tuple[fs.FileSystem, str]:
+    """Filesystem and path of a folder: a local path or an address (file, hdfs, s3, gs ...)."""
+    return fs.FileSystem.from_uri(address if "://" in address or address.startswith("file:") else os.path.abspath(address))
+
+
 class Files(InputPartition):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -27,19 +33,22 @@ class _Reader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[Files]:
-        found = sorted(os.path.join(d, f) for d, _, names in os.walk(self.options["path"]) for f in names if not f.startswith((".", "_")))
+        source, root = filesystem(self.options["path"])
+        info = source.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
+        found = sorted(i.path for i in info if i.is_file and not i.base_name.startswith((".", "_")))
         return [Files(found[i : i + FILES_A_PARTITION]) for i in range(0, len(found), FILES_A_PARTITION)] or [Files([])]
 
 
 class _PacketReader(_Reader):
     def read(self, partition: Files) -> Iterator[tuple]:
         whole = self.options.get("payload", "true").lower() != "false"
+        source, _ = filesystem(self.options["path"])
         for path in partition.paths:
-            with open(path, "rb") as f:
-                blob = f.read() if whole else f.read(wire.HEADER_BYTES)
+            with source.open_input_file(path) as f:
+                blob, size = f.read() if whole else f.read(wire.HEADER_BYTES), f.size()
             try:
                 h = wire.header(blob)
-                yield path, blob if whole else None, h.version, h.frames, h.joints, h.keep, h.crc, os.path.getsize(path) - wire.HEADER_BYTES, None
+                yield path, blob if whole else None, h.version, h.frames, h.joints, h.keep, h.crc, size - wire.HEADER_BYTES, None
             except wire.PacketError as e:
                 yield path, blob if whole else None, None, None, None, None, None, None, str(e)
 
@@ -60,8 +69,9 @@ class _BagReader(_Reader):
     def read(self, partition: Files) -> Iterator[tuple]:
         names = [c.split()[0] for c in BAG_ROWS.split(", ")]
         strict = self.options.get("strict", "true").lower() != "false"
+        source, _ = filesystem(self.options["path"])
         for path in partition.paths:
-            with open(path, "rb") as f:
+            with source.open_input_file(path) as f:
                 blob = f.read()
             try:
                 for r in bags.read_bag(blob, strict):

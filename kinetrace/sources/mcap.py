@@ -1,4 +1,4 @@
-"""A small reader and writer of the public MCAP container format (unchunked on writing; none, lz4 and zstd chunks on reading)."""
+"""A small reader and writer of the public MCAP container format (without chunks or in one, and chunks of any number on reading; lz4 and zstd)."""
 
 from __future__ import annotations
 
@@ -39,14 +39,20 @@ def _record(op: int, body: bytes) -> bytes:
     return struct.pack("<BQ", op, len(body)) + body
 
 
-def write(c: Content) -> bytes:
+def write(c: Content, compression: str = "") -> bytes:
+    """A file of one run of messages: bare, or in a chunk compressed with lz4 or zstd."""
     out = [MAGIC, _record(HEADER, _text(c.profile) + _text(c.library))]
     for i, (name, encoding, data) in c.schemas.items():
         out.append(_record(SCHEMA, struct.pack("<H", i) + _text(name) + _text(encoding) + struct.pack("<I", len(data)) + data))
     for i, (schema, topic, encoding, meta) in c.channels.items():
         out.append(_record(CHANNEL, struct.pack("<HH", i, schema) + _text(topic) + _text(encoding) + _map(meta)))
-    for channel, sequence, logged, published, data in c.messages:
-        out.append(_record(MESSAGE, struct.pack("<HIQQ", channel, sequence, logged, published) + data))
+    run = b"".join(_record(MESSAGE, struct.pack("<HIQQ", channel, sequence, logged, published) + data) for channel, sequence, logged, published, data in c.messages)
+    if compression:
+        import pyarrow
+
+        packed, times = pyarrow.compress(run, compression, asbytes=True), [m[2] for m in c.messages] or [0]
+        run = _record(CHUNK, struct.pack("<QQQI", min(times), max(times), len(run), zlib.crc32(run)) + _text(compression) + struct.pack("<Q", len(packed)) + packed)
+    out.append(run)
     for name, meta in c.metadata.items():
         out.append(_record(METADATA, _text(name) + _map(meta)))
     out.append(_record(DATA_END, struct.pack("<I", zlib.crc32(b"".join(out)))))

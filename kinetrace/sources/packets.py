@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import gzip
-import os
 import time
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from kinetrace.operators.frames import joint_count
 from kinetrace.schemas import HEADER
-from kinetrace.sources import wire
+from kinetrace.sources import mcap, wire
+from kinetrace.sources.datasource import filesystem
 
 
 def read_packets(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -133,20 +134,21 @@ def verify(packets: DataFrame, key: str = "path") -> DataFrame:
     return out.withColumn("ok", F.col("error").isNull() & F.col("crc_ok"))
 
 
-def write_packets(packets: DataFrame, folder: str, name: str = "traj_id") -> None:
-    """One file a row, named by a column; the folder must be visible to all executors. Written under a temporary name, then renamed."""
+def write_packets(packets: DataFrame, folder: str, name: str = "traj_id", suffix: str = ".packet") -> None:
+    """One file a row, named by a column, on any filesystem that the folder's address names. Written under a temporary name, then renamed."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
+        target, root = filesystem(folder)
+        target.create_dir(root, recursive=True)
         for b in it:
             for who, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                path = os.path.join(folder, f"{who}.packet")
-                with open(f"{path}.{os.getpid()}", "wb") as f:
+                path, draft = f"{root}/{who}{suffix}", f"{root}/_{who}.{uuid.uuid4().hex}"
+                with target.open_output_stream(draft) as f:
                     f.write(blob)
-                os.replace(f"{path}.{os.getpid()}", path)
+                target.move(draft, path)
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], type=pa.int64())], names=["n"])
 
-    packets.where("content is not null").select(F.col(name).cast("string"), "content").mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+    packets.where("content is not null").select(F.col(name).cast("string"), F.col("content").cast("binary")).mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
 
 
 def corruption_matrix(packets: DataFrame, key: str) -> DataFrame:
@@ -172,7 +174,16 @@ def _codecs() -> dict[str, tuple]:
         np.save(out, x)
         return out.getvalue()
 
+    def boxed(kind: str) -> tuple:
+        def pack(x: np.ndarray) -> bytes:
+            channel = (1, "/samples", "float32", {})
+            return mcap.write(mcap.Content(schemas={1: ("samples", "", b"")}, channels={1: channel}, messages=[(1, i, i, i, row.tobytes()) for i, row in enumerate(x)]), kind)
+
+        return pack, lambda b, s: np.frombuffer(b"".join(m[4] for m in mcap.read(b).messages), dtype=np.float32).reshape(s)
+
     return {
+        "mcap_lz4": boxed("lz4"),
+        "mcap_zstd": boxed("zstd"),
         "spectral_k8": (lambda x: wire.encode(x, 8), lambda b, _: wire.decode(b).astype(np.float32)),
         "raw_npy": (npy, lambda b, s: np.frombuffer(b[-4 * int(np.prod(s)) :], dtype=np.float32).reshape(s)),
         "gzip_9": (lambda x: gzip.compress(x.tobytes(), 9, mtime=0), lambda b, s: np.frombuffer(gzip.decompress(b), dtype=np.float32).reshape(s)),

@@ -65,7 +65,7 @@ def encode(values: object, keep: int = KEEP, level: int = LEVEL) -> bytes:
     if joints > 0xFFFF or keep > 0xFFFF:
         raise PacketError("joints and kept bins are limited to 65535")
     spectrum = np.fft.rfft(x, axis=0)[:keep]
-    body = zlib.compress(np.stack([spectrum.real, spectrum.imag], axis=-1).astype("<f4").tobytes(), level)
+    body = zlib.compress(spectrum.astype("<c8").tobytes(), level)  # complex64 is (re, im) in float32
     return _HEADER.pack(MAGIC, VERSION, frames, joints, keep, zlib.crc32(body)) + body
 
 
@@ -99,8 +99,8 @@ def decode(blob: bytes) -> np.ndarray:
         raise PacketError(f"decompression failed: {e}") from e
     if len(raw) != 4 * h.values:
         raise PacketError("payload size mismatch")
-    part = np.frombuffer(raw, dtype="<f4").reshape(h.keep, h.joints, 2).astype(np.float64)
-    return np.fft.irfft(part[..., 0] + 1j * part[..., 1], n=h.frames, axis=0)
+    part = np.frombuffer(raw, dtype="<c8").reshape(h.keep, h.joints).astype(np.complex128)
+    return np.fft.irfft(part, n=h.frames, axis=0)
 
 
 def describe(blob: bytes) -> dict[str, int]:

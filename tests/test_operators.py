@@ -228,11 +228,43 @@ def test_spread_percentiles_and_regressions(spark):
 
 def test_replay_hash_ignores_row_order(spark):
     df = spark.range(100).withColumn("g", F.lit(1))
-    one = reports.replay_hash(df, ["g"], ["id"], F.col("id").cast("string")).first()["sha256"]
-    two = reports.replay_hash(df.orderBy(F.desc("id")).repartition(3), ["g"], ["id"], F.col("id").cast("string")).first()["sha256"]
+    one = reports.replay_hash(df, ["g"], ["id"], F.col("id").cast("string"), F.floor(F.col("id") / 7)).first()["sha256"]
+    two = reports.replay_hash(df.orderBy(F.desc("id")).repartition(3), ["g"], ["id"], F.col("id").cast("string"), F.floor(F.col("id") / 7)).first()["sha256"]
     assert one == two
 
 
+def test_ranks_without_holding_a_group(spark):
+    """Exact order statistics of skewed groups, many equal values, nulls and single rows among them."""
+    import random
+    from statistics import median
+
+    rng = random.Random(3)
+    values = {"a": [round(rng.gauss(0, 5), 1) for _ in range(3000)], "b": [1.0] * 500 + [2.0], "c": [7.0], "d": [rng.random() for _ in range(40)]}
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [("a", None), ("e", None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r for r in reports.percentiles(df, ["g"], "v").collect()}
+    assert set(got) == set(values)
+    for g, vs in values.items():
+        s = sorted(vs)
+        assert got[g]["n"] == len(s)
+        for q, name in ((0.5, "p50"), (0.95, "p95")):
+            assert abs(got[g][name] - np.quantile(s, q)) < 1e-9 and got[g][f"{name}_rank"] == s[int(np.rint((len(s) - 1) * q))]
+    ranks = [(r["g"], r["median"]) for r in reports.rank_by_median(df, "g", "v").orderBy("rank").collect()]
+    assert ranks == sorted(((g, median(vs)) for g, vs in values.items()), key=lambda x: (-x[1], x[0]))
+    assert reports.percentiles(df, [], "v").first()["n"] == sum(map(len, values.values()))
+
+
+def test_shared_folder_is_required_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from kinetrace import session
+
+    made = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_root(made)
+
+
 def test_one_exchange_serves_windows_quantiles_and_histograms(spark, sf):
     """Windows, the quantile aggregate, the join back and the histogram all reuse the partitioning by trajectory."""
     from kinetrace.plans.motion import suppliers
