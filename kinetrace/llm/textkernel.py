@@ -12,14 +12,17 @@ without words has none. SQL spelling of the words: ``[a-z0-9\\x{80}-\\x{10FFFF}]
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from kinetrace.session import shared_dir, shared_root
+
+__all__ = ["Words", "cut", "fresh", "mix64", "shared_dir", "shared_root", "shingles", "slices", "words"]
 
 #: Bytes of text handled at once inside a worker; a longer document makes a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -162,24 +165,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir; all executors see it."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder is set only where that is unset (tests, one machine)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="checkpoints-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: lineage ends in files that outlive any executor."""
-    checkpoint_root(df.sparkSession)
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
