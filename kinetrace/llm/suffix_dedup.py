@@ -13,19 +13,24 @@ Both arrays are built only as far as the question needs, and in buckets that no
    passage that begins up to REACH words before. Most of the corpus occurs once and ends here.
 2. The others meet their texts again and become fragments: left of the trigger the words of the phrase (the dictionary's
    side), right of it the words up to LENGTH.
-3. Sorting the fragments of a bucket gives the parse's suffix array, their common prefixes its LCP array. For every
-   distance left of the trigger, the phrase suffixes are sorted with the ranks to corpus order; a position is repeated
-   if a neighbour has the same phrase suffix and no smaller LCP in between than LENGTH asks for.
+3. A bucket's different phrases are its dictionary, each held once. The dictionary's suffix array comes from prefix doubling over
+   the phrases with their trigger: equal suffixes share a rank. Sorting the fragments by their words on the right gives the
+   parse's suffix array and, between neighbours, its LCP array (the order of phrase ranks is that of their words, since none is a proper prefix of another).
+4. Both combine into corpus order: a position is (rank of its phrase suffix, rank of the parse suffix). It is repeated
+   if a neighbour in that order has the same phrase suffix and no smaller LCP in between than LENGTH asks for.
+
+The dictionary is a bucket's, not the corpus's: words that occur once are gone before any phrase is stored or sorted.
 
 Positions farther than REACH from the next trigger (about 1 in 60) are triggers of their own. All of this is exact but for
 collisions of 64-bit hashes.
 
 Scale: three shuffles, of 20 bytes a phrase, of the texts that have candidates, and of the fragments; sorting is Spark's and
 spills. Copies of a whole text count once from the start, and of fragments that are alike throughout a bucket keeps two: the
-others are repeated as they stand. A worker holds the different fragments of one bucket (about 200 bytes each).
+others are repeated as they stand. A worker holds the different fragments of one bucket (about 500 bytes each).
 
 Defined edge cases: null and short texts (under LENGTH words) have no passages; repeated rows are copies; null ids are kept;
-texts that are one word over and over are handled as they are.
+texts that are one word over and over are handled as they are; long texts are read whole, about a megabyte at a time; equal passages tie in corpus
+order and go by text; an empty table gives no rows; extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -127,8 +132,8 @@ def _fragments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             code = (w.code >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
             right = np.minimum(LENGTH, w.doc_at[doc + 1] - at) - SURE
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(ids[w.first_row + doc]), pa.array(rel.astype(np.int32)), pa.array(least.astype(np.int32)), _binary(*_windows(code, at - 1, serves, -1)), _binary(*_windows(code, at + SURE, right, 1))],
-                names=["key", "text_key", "at", "least", "left", "right"],
+                [pa.array(key.view(np.int64)), pa.array(ids[w.first_row + doc]), pa.array(rel.astype(np.int32)), pa.array(least.astype(np.int32)), _binary(*_windows(code, at - 1, serves, -1)), _binary(*_windows(code, at, np.full(len(at), WINDOW), 1)), _binary(*_windows(code, at + SURE, right, 1))],
+                names=["key", "text_key", "at", "least", "left", "trigger", "right"],
             )
 
 
@@ -147,7 +152,52 @@ def _table(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def repeated_starts(key: np.ndarray, left: np.ndarray, serves: np.ndarray, right: np.ndarray, least: np.ndarray) -> np.ndarray:
+def _places(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, number within it) of n[0] + n[1] + ... places."""
+    owner = np.repeat(np.arange(len(n)), n)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def dictionary(bucket: np.ndarray, left: np.ndarray, serves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a fragment of each different phrase of a bucket, phrase of each fragment)."""
+    rows = np.ascontiguousarray(np.column_stack([bucket, serves, left]).astype(np.uint32))
+    _, first, phrase = np.unique(rows.view(np.dtype((np.void, rows.shape[1] * 4))).ravel(), return_index=True, return_inverse=True)
+    return first, phrase.ravel()
+
+
+def suffix_ranks(bucket: np.ndarray, left: np.ndarray, serves: np.ndarray, trigger: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of every suffix of every phrase, where each phrase's ranks begin): the dictionary's suffix array, inverted.
+
+    A phrase is its words and its trigger; the rank at begin + d is that of its last d words and the trigger. Buckets come in order,
+    and within one, suffixes by their words; equal ones share a rank. Prefix doubling: after k rounds 2^k words are compared.
+    """
+    size = serves + WINDOW
+    phrase, at = _places(size)  # at: words to the end of the trigger, less one
+    inside = at < WINDOW
+    word = np.where(inside, trigger[phrase, WINDOW - 1 - np.minimum(at, WINDOW - 1)], left[phrase, np.maximum(at - WINDOW, 0)]) if len(phrase) else np.zeros(0, dtype=np.uint32)
+    rank = np.unique(bucket[phrase].astype(np.uint64) << np.uint64(32) | word, return_inverse=True)[1].ravel() + 1
+    step, place = 1, np.arange(len(at))
+    while step < REACH + WINDOW:
+        rest = np.where(at >= step, rank[np.maximum(place - step, 0)], 0)  # the suffix that begins after the first step words
+        rank = np.unique(rank.astype(np.uint64) << np.uint64(32) | rest.astype(np.uint64), return_inverse=True)[1].ravel() + 1
+        step *= 2
+    return rank, np.cumsum(size) - size + WINDOW - 1
+
+
+def corpus_order(bucket: np.ndarray, left: np.ndarray, serves: np.ndarray, trigger: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fragment, words left of its trigger, rank of the phrase suffix) of every position, in corpus order.
+
+    Fragments come in the order of the parse's suffix array: by bucket, then by the words on the right.
+    """
+    first, phrase = dictionary(bucket, left, serves)
+    rank, begin = suffix_ranks(bucket[first], left[first], serves[first], trigger[first])
+    fragment, d = _places(serves + 1)
+    suffix = rank[begin[phrase[fragment]] + d]
+    order = np.lexsort((fragment, suffix))
+    return fragment[order], d[order], suffix[order]
+
+
+def repeated_starts(key: np.ndarray, left: np.ndarray, serves: np.ndarray, trigger: np.ndarray, right: np.ndarray, least: np.ndarray) -> np.ndarray:
     """[fragments, REACH + 1] whether the passage that begins d words left of the trigger is repeated.
 
     Fragments come in suffix-array order: by key, then by the words on the right.
@@ -157,20 +207,17 @@ def repeated_starts(key: np.ndarray, left: np.ndarray, serves: np.ndarray, right
     same = right[1:] == right[:-1]
     lcp = np.where(same.all(1), REACH, same.argmin(1))
     lcp[key[1:] != key[:-1]] = -1
-    suffix = np.zeros(n, dtype=np.uint64)
-    for d in range(REACH + 1):
-        if d:
-            suffix = mix64(suffix * np.uint64(_STEP) + left[:, d - 1])
-        sel = np.flatnonzero(serves >= d)
-        if not len(sel):
-            break
-        interval = np.concatenate([[0], np.cumsum(lcp < REACH - d)])  # equal: no smaller LCP in between
-        order = sel[np.argsort(suffix[sel], kind="stable")]  # phrase suffix, then rank of the parse suffix
-        twin = (suffix[order[1:]] == suffix[order[:-1]]) & (interval[order[1:]] == interval[order[:-1]])
-        out[order[1:][twin], d] = True
-        out[order[:-1][twin], d] = True
-        out[:, d] &= least <= d
-    return out
+    bucket = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+    fragment, d, suffix = corpus_order(bucket, left, serves, trigger)
+    # two positions with one phrase suffix are equal if no LCP in between is smaller: if they are in one interval
+    interval = np.zeros((REACH + 1, n), dtype=np.int32)
+    for x in range(REACH + 1):
+        np.cumsum(lcp < REACH - x, out=interval[x, 1:])
+    where = interval[d, fragment]
+    twin = (suffix[1:] == suffix[:-1]) & (where[1:] == where[:-1])
+    out[fragment[1:][twin], d[1:][twin]] = True
+    out[fragment[:-1][twin], d[:-1][twin]] = True
+    return out & (least[:, None] <= np.arange(REACH + 1)[None, :])
 
 
 def _repeats(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +225,9 @@ def _repeats(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
         left, serves = _table(t.column("left").chunk(0), REACH)
         right, _ = _table(t.column("right").chunk(0), REACH)
+        trigger, _ = _table(t.column("trigger").chunk(0), WINDOW)
         key, at = t.column("key").to_numpy(), t.column("at").to_numpy().astype(np.int64)
-        yes = repeated_starts(key, left, serves, right, t.column("least").to_numpy())
+        yes = repeated_starts(key, left, serves, trigger, right, t.column("least").to_numpy())
         # runs of neighbouring starts: distance d runs leftwards, so a run is first = at - high, last = at - low
         edge = np.diff(np.pad(yes.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         row, low = np.nonzero(edge == 1)
@@ -218,7 +266,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     wanted = twice.groupBy("text_key").agg(F.collect_set("at").alias("ats"))
     once = Window.partitionBy("text_key").orderBy("text_key")
     found = texts.join(wanted, "text_key").withColumn("nth", F.row_number().over(once)).where("nth = 1").select("text_key", "text", "ats")
-    pieces = found.mapInArrow(_fragments, "key bigint, text_key bigint, at int, least int, left binary, right binary")
+    pieces = found.mapInArrow(_fragments, "key bigint, text_key bigint, at int, least int, left binary, trigger binary, right binary")
     alike = Window.partitionBy("key", "right", "left", "least").orderBy("text_key", "at")
     numbered = pieces.repartition("key").withColumn("nth", F.row_number().over(alike))
     runs = numbered.sortWithinPartitions("key", "right", "left", "least").mapInArrow(_repeats, "text_key bigint, first int, last int")

@@ -181,6 +181,36 @@ def test_repeated_passages_of_a_small_vocabulary(spark, seed):
     assert got == brute_spans(texts)
 
 
+@pytest.mark.parametrize("vocabulary", [4, 30, 4000])
+def test_corpus_order_equals_a_plain_suffix_sort(vocabulary):
+    """Phrases, triggers and parse suffixes of random texts combine into the order of the words themselves."""
+    rng = random.Random(vocabulary)
+    base = prose(rng, 400, vocabulary)
+    texts = [" ".join(w if rng.random() > 0.02 else f"w{rng.randrange(vocabulary)}" for w in base.split()[rng.randrange(100) : rng.randrange(200, 400)]) for _ in range(25)]
+    array, wanted = pa.array(texts), []
+    for w in textkernel.words(array):
+        doc, at, _, _, _ = suffix_dedup.anchors(w)
+        wanted += [[int(p - w.doc_at[i]) for i2, p in zip(doc, at) if i2 == i] for i in range(w.n_docs)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), array, pa.array(wanted, type=pa.list_(pa.int32()))], names=["text_key", "text", "ats"])
+    t = pa.Table.from_batches(list(suffix_dedup._fragments(iter([batch])))).sort_by([("key", "ascending"), ("right", "ascending")]).combine_chunks()
+    left, serves = suffix_dedup._table(t.column("left").chunk(0), suffix_dedup.REACH)
+    trigger, _ = suffix_dedup._table(t.column("trigger").chunk(0), suffix_dedup.WINDOW)
+    key, text, at = (t.column(c).to_numpy() for c in ("key", "text_key", "at"))
+    bucket = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+    fragment, d, suffix = suffix_dedup.corpus_order(bucket, left, serves, trigger)
+    codes = {}
+    for w in textkernel.words(array):
+        c = (w.code >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        codes |= {w.first_row + i: c[w.doc_at[i] : w.doc_at[i + 1]].tolist() for i in range(w.n_docs)}
+    spelled = [codes[text[f]][at[f] - x : at[f] + suffix_dedup.LENGTH] for f, x in zip(fragment, d)]
+    assert len(fragment) == (serves + 1).sum() > 1000
+    assert all(bucket[f] < bucket[g] or bucket[f] == bucket[g] and a <= b for f, g, a, b in zip(fragment, fragment[1:], spelled, spelled[1:]))
+    heads = [(bucket[f], tuple(s[: x + suffix_dedup.WINDOW])) for f, x, s in zip(fragment, d, spelled)]
+    assert all((a == b) == (x == y) for a, b, x, y in zip(heads, heads[1:], suffix, suffix[1:]))
+    first, phrase = suffix_dedup.dictionary(bucket, left, serves)
+    assert len(first) == len({(bucket[i], left[i].tobytes(), serves[i]) for i in range(len(key))}) and all(bucket[first[p]] == bucket[i] and (left[first[p]] == left[i]).all() for i, p in enumerate(phrase))
+
+
 def test_repeated_passages_edges(spark):
     df = frame(spark, [None, "", "short", "word " * 49, "word " * 50, "word " * 50], [1, 2, 3, 4, None, None])
     assert sorted(tuple(r)[1:] for r in suffix_dedup.repeated_passages(df).collect()) == [(0, 50), (0, 50)]
