@@ -2,33 +2,34 @@
 
 A text is lower-cased, every run of non-letters becomes one space, and a space is set at both ends. Its 1-, 2- and
 3-grams (without the lone space) are ranked by count, then length, then code point; the first ``RANKS`` make its
-profile. A language's profile is made alike from the labelled documents of a bounded sample: at most
-``SAMPLE_PER_LANGUAGE`` documents a language, those of smallest md5 of the id. The distance of a text to a language
-is the sum, over the text's n-grams, of the difference of the two ranks, ``RANKS`` where the language hasn't the n-gram.
+profile. A language's profile is made alike from labelled documents: ``keep_identified`` counts every one; the query, whose
+SQL says so, only a bounded sample of at most ``SAMPLE_PER_LANGUAGE`` a language, those of smallest md5 of the id. The distance of a text
+to a language is the sum, over the text's n-grams, of the difference of the two ranks, ``RANKS`` where the language hasn't the n-gram.
 The nearest language wins (ties: the first by name), unless the mean over the text's n-grams exceeds ``REJECT``.
-That alone, the SQL's definition, passes almost any text in Latin letters, so ``keep_identified`` takes the limit from the labelled
-sample itself, by number of n-grams: each half is measured, whole and cut short, against profiles of the other half. The
+That alone, the SQL's definition, passes almost any text in Latin letters, so ``keep_identified`` takes the limit from all labelled
+documents, by number of n-grams: each half of them is measured, whole and cut short, against profiles of the other half. The
 limit lies a share ``BETWEEN`` of the way from the 99th percentile of the nearest language's mean distance to the median of the second
 nearest's, which is how far a language without labels is. Under ``BANDS[0]`` n-grams the two overlap, and ``REJECT`` holds; so
 it does where fewer than ``MEASURED`` texts say otherwise.
 
-Scale: one scan of the texts, vectorised over code points, no shuffle of texts; what is broadcast is RANKS rows a language.
-A worker holds about a megabyte of text at a time (or one document, if longer).
+Scale: the query judges in one scan of the texts, after one of the sample; ``keep_identified`` counts, measures and judges in three. Vectorised
+over code points, no shuffle of texts: counts of n-grams, summed over texts in the worker, and of distances are shuffled; what is broadcast
+is RANKS rows a language and half. A worker holds about a megabyte of text at a time (or one document, if longer) and ``_HELD`` counts.
 
 Defined edge cases: null, empty and letter-free texts, and all texts when nothing is labelled, are rejected
-(language null, distance null, 0 n-grams); rows without id or label aren't trained on; repeated rows are
-judged alike; an empty table gives no rows; long texts are read whole; ties in rank go by length and code point, ties in distance to
+(language null, distance null, 0 n-grams); rows without label aren't trained on, nor, in the query, those
+without id; repeated rows are judged alike; an empty table gives no rows; long texts are read whole; ties in rank go by length and code point, ties in distance to
 the first language by name; letters of every script have codes of their own; only id, label and text are read, extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinetrace.llm.textkernel import cut
@@ -36,7 +37,7 @@ from kinetrace.llm.textkernel import cut
 RANKS, SAMPLE_PER_LANGUAGE, REJECT = 300, 1000, 0.80
 BANDS, CUTS, MEASURED, BETWEEN = (101, 151, 201, RANKS), (50, 80, 120, 160, None), 100, 0.6
 BROADCAST_ROWS = 500_000
-_SLICE, _DOCS = 1 << 19, 4096
+_SLICE, _DOCS, _HELD = 1 << 19, 4096, 1 << 20
 _BITS = 18  # letters lie below U+3FFFF; an n-gram's code is its length and three of them
 _MASK = np.uint64(0xFFFFFFFF)
 
@@ -86,12 +87,8 @@ def _long(text: str) -> tuple[np.ndarray, ...]:
     return u, np.bincount(inverse, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
 
 
-def ranked(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, n-gram code, count, rank from 0) of every distinct n-gram, by document and rank."""
-    if len(texts) == 1 and len(texts[0]) > _SLICE:
-        code, count = _long(texts[0])
-        order = np.lexsort((code, -count))
-        return np.zeros(len(code), dtype=np.int64), code[order], count[order], np.arange(len(code))
+def _distinct(texts: list[str], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], np.ndarray]]:
+    """(owner << 32 | short code, ascending; its count; the n-gram codes of short codes, in the same order) of the texts of each owner."""
     sizes = np.array([len(t) + 2 for t in texts], dtype=np.int64)
     sym = _symbols()[np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
     doc = np.repeat(np.arange(len(texts), dtype=np.uint64), sizes)
@@ -111,7 +108,7 @@ def ranked(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         code = _grams(sym, n, 10 if few else _BITS)
         own = sym != 0 if n == 1 else doc[: len(code)] == doc[len(doc) - len(code) :]
         codes.append(code[own])
-        docs.append(doc[: len(code)][own])
+        docs.append(owner[doc[: len(code)][own]])
     codes = np.concatenate(codes)
     known = None
     if not few:
@@ -119,19 +116,28 @@ def ranked(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         codes = codes.astype(np.uint64)
     key = np.sort(np.concatenate(docs) << np.uint64(32) | codes)
     head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
-    count = np.diff(np.append(head, len(key))).astype(np.uint64)
-    key = key[head]
-    top = np.uint64((1 << 20) - 1)  # a slice has fewer symbols than that
-    packed = np.sort((key >> np.uint64(32)) << np.uint64(52) | (top - count) << np.uint64(32) | key & _MASK)
-    of, code, count = packed >> np.uint64(52), packed & _MASK, top - (packed >> np.uint64(32) & top)
-    if few:
+
+    def spell(code: np.ndarray) -> np.ndarray:
+        if not few:
+            return known[code.astype(np.int64)]
         spelled = code >> np.uint64(30) << np.uint64(3 * _BITS)
         for j in range(3):
             spelled |= alphabet[(code >> np.uint64(10 * j) & np.uint64(1023)).astype(np.int64)].astype(np.uint64) << np.uint64(_BITS * j)
-        code = spelled
-    else:
-        code = known[code.astype(np.int64)]
-    of = of.astype(np.int64)
+        return spelled
+
+    return key[head], np.diff(np.append(head, len(key))).astype(np.uint64), spell
+
+
+def ranked(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, n-gram code, count, rank from 0) of every distinct n-gram, by document and rank."""
+    if len(texts) == 1 and len(texts[0]) > _SLICE:
+        code, count = _long(texts[0])
+        order = np.lexsort((code, -count))
+        return np.zeros(len(code), dtype=np.int64), code[order], count[order], np.arange(len(code))
+    key, count, spell = _distinct(texts, np.arange(len(texts), dtype=np.uint64))
+    top = np.uint64((1 << 20) - 1)  # a slice has fewer symbols than that
+    packed = np.sort((key >> np.uint64(32)) << np.uint64(52) | (top - count) << np.uint64(32) | key & _MASK)
+    of, code, count = (packed >> np.uint64(52)).astype(np.int64), spell(packed & _MASK), top - (packed >> np.uint64(32) & top)
     first = np.searchsorted(of, np.arange(len(texts)))
     return of, code, count.astype(np.int64), np.arange(len(of)) - first[of]
 
@@ -165,36 +171,85 @@ def distances(texts: list[str], codes: np.ndarray, ranks: np.ndarray) -> tuple[n
     return total, used
 
 
+def tally(texts: list[str], owner: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(owner, n-gram codes, counts) over the texts of each owner; owners are small numbers."""
+    if len(texts) == 1 and len(texts[0]) > _SLICE:
+        yield int(owner[0]), *_long(texts[0])
+        return
+    key, count, spell = _distinct(texts, owner)
+    edges = np.searchsorted(key, np.arange(int(owner.max()) + 2, dtype=np.uint64) << np.uint64(32))
+    for g, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        yield g, spell(key[lo:hi] & _MASK), count[lo:hi].astype(np.int64)
+
+
 def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, half, text) -> (lang, half, code, n), summed over as many texts as _HELD counts allow."""
+    held: dict[tuple[str, str], list[tuple[np.ndarray, np.ndarray]]] = {}
+    size = 0
+
+    def merge() -> int:
+        for name, parts in held.items():
+            code, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            held[name] = [(code, np.bincount(inverse, weights=np.concatenate([p[1] for p in parts]), minlength=len(code)).astype(np.int64))]
+        return sum(len(parts[0][0]) for parts in held.values())
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for (lang, half), [(code, n)] in held.items():
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(code)), pa.repeat(half, len(code)), pa.array(code.astype(np.int64)), pa.array(n)], names=["lang", "half", "code", "n"])
+
     for b in it:
-        langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+        langs, halves, texts = (c.to_pylist() for c in b.columns)
         for lo, hi in _runs(texts):
-            of, code, count, _ = ranked(texts[lo:hi])
-            yield pa.RecordBatch.from_arrays([pa.array(langs[lo:hi]).take(pa.array(of)), pa.array(code.astype(np.int64)), pa.array(count)], names=["lang", "code", "n"])
+            place: dict[tuple[str, str], int] = {}
+            owner = np.array([place.setdefault(x, len(place)) for x in zip(langs[lo:hi], halves[lo:hi], strict=True)], dtype=np.uint64)
+            names = list(place)
+            for g, code, n in tally(texts[lo:hi], owner):
+                held.setdefault(names[g], []).append((code, n))
+                size += len(code)
+            if size > _HELD:
+                size = merge()
+                if size > _HELD // 2:
+                    yield from rows()
+                    held.clear()
+                    size = 0
+    merge()
+    yield from rows()
+
+
+def _half(key: Column) -> Column:
+    return F.when(F.substring(F.md5(key), 32, 1) < "8", "0").otherwise("1")
+
+
+def _labelled(docs: DataFrame) -> DataFrame:
+    """(lang, half, text): every labelled row, halved by id, or by text without one."""
+    return docs.where("lang is not null and text is not null").select("lang", _half(F.coalesce(F.col("doc_id").cast("string"), "text")).alias("half"), "text")
 
 
 def _sample(docs: DataFrame, per_language: int) -> DataFrame:
     """(lang, half, text): a bounded sample of the labelled rows, halved by id."""
     chosen = docs.where("doc_id is not null and lang is not null and text is not null").select("lang", "doc_id", F.md5(F.col("doc_id").cast("string")).alias("h"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = cut(chosen.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "doc_id", F.when(F.substring("h", 32, 1) < "8", "0").otherwise("1").alias("half")).distinct())
+    ids = cut(chosen.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "doc_id", _half(F.col("doc_id").cast("string")).alias("half")).distinct())
     few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids  # with very many languages, a shuffled join
     return docs.select("doc_id", "lang", "text").join(few, ["doc_id", "lang"]).select("lang", "half", "text")
 
 
-def _profiles(sample: DataFrame) -> dict[str, dict[int, int]]:
-    """Language -> n-gram code -> rank, from rows (lang, text)."""
-    counts = sample.mapInArrow(_count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
-    profiles: dict[str, dict[int, int]] = {}
-    for r in counts.withColumn("rank", nth).where(F.col("rank") <= RANKS).select("lang", "code", "rank").collect():
-        profiles.setdefault(r["lang"], {})[r["code"]] = r["rank"] - 1
+def _profiles(rows: DataFrame) -> dict[str, dict[str, dict[int, int]]]:
+    """"0", "1" for the halves and "" for both -> language -> n-gram code -> rank, from rows (lang, half, text)."""
+    counts = rows.mapInArrow(_count, "lang string, half string, code bigint, n bigint").groupBy("lang", "code")
+    sums = counts.agg(*(F.sum(F.when(F.col("half") == x, F.col("n")).otherwise(0)).alias(f"n{x}") for x in "01"))
+    parts = F.array(*(F.struct(F.lit(x).alias("half"), n.alias("n")) for x, n in (("0", F.col("n0")), ("1", F.col("n1")), ("", F.col("n0") + F.col("n1")))))
+    nth = F.row_number().over(Window.partitionBy("half", "lang").orderBy(F.desc("n"), "code"))
+    profiles: dict[str, dict[str, dict[int, int]]] = {"0": {}, "1": {}, "": {}}
+    found = sums.select("lang", "code", F.inline(parts)).where("n > 0").withColumn("rank", nth).where(F.col("rank") <= RANKS)
+    for r in found.select("half", "lang", "code", "rank").collect():
+        profiles[r["half"]].setdefault(r["lang"], {})[r["code"]] = r["rank"] - 1
     return profiles
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict[str, dict[int, int]]:
     """Language -> n-gram code -> rank, from a bounded sample of the labelled rows."""
-    return _profiles(_sample(docs, per_language).select("lang", "text"))
+    return _profiles(_sample(docs, per_language))[""]
 
 
 def _table(profiles: dict[str, dict[int, int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -204,14 +259,15 @@ def _table(profiles: dict[str, dict[int, int]]) -> tuple[list[str], np.ndarray,
     return langs, codes, np.array([[profiles[x].get(int(c), RANKS) for x in langs] for c in codes], dtype=np.int64).reshape(len(codes), len(langs))
 
 
-def limits(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> np.ndarray:
-    """By number of n-grams: the mean distance beyond which a text is in none of the labelled languages."""
+def limits(docs: DataFrame) -> np.ndarray:
+    """By number of n-grams: the mean distance beyond which a text is in none of the labelled languages; from every labelled row."""
+    rows = _labelled(docs)
+    return _limits(rows, _profiles(rows))
+
+
+def _limits(labelled: DataFrame, profiles: dict[str, dict[str, dict[int, int]]]) -> np.ndarray:
     limit = np.full(RANKS + 1, REJECT)
-    sample = _sample(docs, per_language)
-    halves: dict[str, dict[str, dict[int, int]]] = {"0": {}, "1": {}}
-    for name, profile in _profiles(sample.select(F.concat("half", "lang").alias("lang"), "text")).items():
-        halves[name[0]][name[1:]] = profile
-    tables = {own: _table(halves[other]) for own, other in ("01", "10")}
+    tables = {own: _table(profiles[other]) for own, other in ("01", "10")}
 
     def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -222,13 +278,30 @@ def limits(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> np.ndarr
                     continue
                 total, used = distances(texts, codes, ranks)
                 some = used >= BANDS[0]
-                mean = np.sort(total[some], axis=1)[:, :2] / (RANKS * used[some])[:, None]
-                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(BANDS, used[some], side="right") - 1), pa.array(mean[:, 0]), pa.array(mean[:, 1])], names=["band", "nearest", "second"])
-
-    found = sample.mapInArrow(measure, "band bigint, nearest double, second double").groupBy("band").agg(F.count("*").alias("n"), F.percentile("nearest", 0.99).alias("own"), F.percentile("second", 0.01).alias("least"), F.percentile("second", 0.5).alias("other"))
+                near = np.sort(total[some], axis=1)[:, :2]
+                for second in (0, 1):
+                    key, n = np.unique(used[some] << 32 | near[:, second], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([second] * len(key), pa.int64()), pa.array(key >> 32), pa.array(key & 0xFFFFFFFF), pa.array(n)], names=["second", "used", "total", "n"])
+
+    seen = labelled.mapInArrow(measure, "second bigint, used bigint, total bigint, n bigint").groupBy("second", "used", "total").agg(F.sum("n").alias("n"))
+    band = sum((F.col("used") >= low).cast("int") for low in BANDS[1:])
+    seen = seen.select("second", band.alias("band"), (F.col("total") / (RANKS * F.col("used"))).alias("mean"), "n")
+    group = Window.partitionBy("second", "band")
+    seen = seen.withColumn("upto", F.sum("n").over(group.orderBy("mean"))).withColumn("all", F.sum("n").over(group))
+    shares = {"least": 0.01, "other": 0.5, "own": 0.99}  # exact percentiles, from counts of equal distances
+    at = {(x, end): f(p * (F.col("all") - 1)) for x, p in shares.items() for end, f in (("low", F.floor), ("high", F.ceil))}
+    found = seen.groupBy("second", "band").agg(F.max("all").alias("all"), *(F.min(F.when(F.col("upto") > place, F.col("mean"))).alias(f"{x}_{end}") for (x, end), place in at.items()))
+    both: tuple[dict[int, Row], dict[int, Row]] = ({}, {})
     for r in found.collect():
-        if r["n"] >= MEASURED and r["own"] < r["least"]:
-            limit[BANDS[r["band"]] : [*BANDS, RANKS + 1][r["band"] + 1]] = min(REJECT, r["own"] + BETWEEN * (r["other"] - r["own"]))
+        both[r["second"]][r["band"]] = r
+
+    def share(r: Row, x: str) -> float:
+        return r[f"{x}_low"] + (shares[x] * (r["all"] - 1)) % 1 * (r[f"{x}_high"] - r[f"{x}_low"])
+
+    for k, nearest in both[0].items():
+        own, least, other = share(nearest, "own"), share(both[1][k], "least"), share(both[1][k], "other")
+        if nearest["all"] >= MEASURED and own < least:
+            limit[BANDS[k] : [*BANDS, RANKS + 1][k + 1]] = min(REJECT, own + BETWEEN * (other - own))
     return limit
 
 
@@ -261,8 +334,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, reject: float | None = None) -> DataFrame:
-    """``docs`` without the rows whose language is rejected; the profiles and, unless given, the limits come from ``docs`` itself."""
-    return docs.where(identify(train(docs), reject=limits(docs) if reject is None else reject)["language"].isNotNull())
+    """``docs`` without the rows whose language is rejected; the profiles and, unless given, the limits come from all labelled rows of ``docs``."""
+    rows = _labelled(docs)
+    profiles = _profiles(rows)
+    return docs.where(identify(profiles[""], reject=_limits(rows, profiles) if reject is None else reject)["language"].isNotNull())
 
 
 SQL = f"""

@@ -64,6 +64,65 @@ def test_the_stage_drops_a_language_without_labels_and_gibberish(spark):
     assert language_id.limits(docs.limit(0)).tolist() == [language_id.REJECT] * (language_id.RANKS + 1)
 
 
+def test_the_stage_counts_documents_outside_the_sample(spark):
+    """1,000 Latin documents fill the sample of a language that has as many in Greek letters, some of them without an id."""
+    import hashlib
+
+    ids = sorted(range(2000), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    rows = [(i, f"the cat and the dog {i}", "xx") for i in ids[:1000]] + [(i if i % 5 else None, f"η γάτα και ο σκύλος {i}", "xx") for i in ids[1000:]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert language_id.train(docs)["xx"].keys().isdisjoint(language_id.ranked(["γάτα"])[1].tolist())
+    assert language_id.keep_identified(docs).count() == len(rows)
+
+
+def test_the_stages_profiles_and_limits_against_brute_force(spark, monkeypatch):
+    """Every labelled row, beyond the sample's 1,000 a language, in many small batches; repeated, missing and odd ids and a long text."""
+    import hashlib
+
+    rng = random.Random(17)
+    letters = {"aa": "eeetaoinshrdlu    ", "bb": "aaaeiouklmnpt     ", "cc": "αεητοικγσλ漢字    "}
+    rows = [(i, "".join(rng.choice(letters[x]) for _ in range(rng.randrange(0, 260))), x) for i in range(3900) for x in [rng.choice(["aa", "bb", "cc"])]]
+    rows += [(None, "no id but a label " * 20, "aa"), (7, "twice the same id " * 20, "aa"), (7, None, "aa"), (8, "no label " * 40, None), (-1, "long and longer " * 300, "bb"), (9, "", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+
+    def tally(text):
+        t = re.sub(r"[\W\d_]+", " ", text.lower()).strip()
+        t = f" {t} " if t else ""
+        return collections.Counter(g for n in (1, 2, 3) for g in (t[i : i + n] for i in range(len(t) - n + 1)) if g != " ")
+
+    def ranks(counts):
+        return {g: r for r, g in enumerate(sorted(counts, key=lambda g: (-counts[g], len(g), g))[: language_id.RANKS])}
+
+    counts = {h: collections.defaultdict(collections.Counter) for h in ("0", "1", "")}
+    labelled = [(x, t, "0" if hashlib.md5(str(t if i is None else i).encode()).hexdigest()[-1] < "8" else "1") for i, t, x in rows if x and t is not None]
+    for x, t, h in labelled:
+        for part in (h, ""):
+            counts[part][x].update(tally(t))
+    want = {h: {x: ranks(c) for x, c in by.items()} for h, by in counts.items()}
+    monkeypatch.setattr(language_id, "_HELD", 500)
+    monkeypatch.setattr(language_id, "_SLICE", 3000)
+    got = language_id._profiles(language_id._labelled(docs))
+
+    def spell(code):
+        return "".join(chr(c - 1) if c > 1 else " " for c in (((code >> 18 * j) & 0x3FFFF) for j in (2, 1, 0)))[: code >> 54]
+
+    assert {h: {x: {spell(c): r for c, r in p.items()} for x, p in by.items()} for h, by in got.items()} == want
+    seen = collections.defaultdict(list)
+    for x, t, h in labelled:
+        for n in language_id.CUTS:
+            mine = ranks(tally(t[:n]))
+            if len(mine) >= language_id.BANDS[0]:
+                far = sorted(sum(abs(r - p[g]) if g in p else language_id.RANKS for g, r in mine.items()) for p in want["1" if h == "0" else "0"].values())
+                seen[np.searchsorted(language_id.BANDS, len(mine), side="right") - 1].append([d / (language_id.RANKS * len(mine)) for d in far[:2]])
+    limit = np.full(language_id.RANKS + 1, language_id.REJECT)
+    for k, means in seen.items():
+        near, second = np.array(means).T
+        own, least, other = np.percentile(near, 99), np.percentile(second, 1), np.percentile(second, 50)
+        if len(means) >= language_id.MEASURED and own < least:
+            limit[language_id.BANDS[k] : [*language_id.BANDS, language_id.RANKS + 1][k + 1]] = min(language_id.REJECT, own + language_id.BETWEEN * (other - own))
+    assert (limit < language_id.REJECT).any() and np.allclose(language_id.limits(docs), limit, rtol=0, atol=1e-12)
+
+
 def test_training_without_a_broadcast_is_the_same(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = language_id.train(docs, 20)
