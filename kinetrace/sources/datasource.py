@@ -29,15 +29,28 @@ class Files(InputPartition):
 
 
 class _Reader(DataSourceReader):
+    #: Endings of the names that are read, in small letters; none: all.
+    names: tuple[str, ...] = ()
+
     def __init__(self, options: dict[str, str]):
         self.options = options
 
     def partitions(self) -> list[Files]:
         source, root = filesystem(self.options["path"])
-        info = source.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
-        found = sorted(i.path for i in info if i.is_file and not i.base_name.startswith((".", "_")))
+        at = source.get_file_info(root)
+        if self.names and at.type == fs.FileType.NotFound:
+            raise FileNotFoundError(f"no file or folder {root}")
+        info = [at] if at.is_file else source.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
+        found = sorted(i.path for i in info if i.is_file and not i.base_name.startswith((".", "_")) and i.path.lower().endswith(self.names or ""))
         return [Files(found[i : i + FILES_A_PARTITION]) for i in range(0, len(found), FILES_A_PARTITION)] or [Files([])]
 
+    def contents(self, partition: Files) -> Iterator[tuple[str, bytes]]:
+        """Path and bytes of each file, one at a time."""
+        source, _ = filesystem(self.options["path"])
+        for path in partition.paths:
+            with source.open_input_file(path) as f:
+                yield path, f.read()
+
 
 class _PacketReader(_Reader):
     def read(self, partition: Files) -> Iterator[tuple]:

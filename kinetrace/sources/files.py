@@ -5,15 +5,21 @@ from __future__ import annotations
 import io
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource
 
 from kinetrace.schemas import EPISODE
-from kinetrace.sources import wire
+from kinetrace.sources import packets, wire
+from kinetrace.sources.datasource import Files, _Reader, filesystem
+
+#: Bytes of results that a worker holds before it sends them on.
+FLUSH_BYTES = 1 << 22
 
 
 def parse_csv(text: str) -> np.ndarray:
@@ -95,46 +101,125 @@ def normalise_episode(e: dict) -> dict:
     return {"structure": structure, "joint_positions": x, "timestamps": stamps, "episode_metadata": dict(e.get("episode_metadata", e.get("metadata", {})))}
 
 
+class _EpisodeReader(_Reader):
+    names = (".json", ".npz")
+
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        for path, raw in self.contents(partition):
+            cells = {"path": path}
+            try:
+                e = parse_episode(path, raw)
+                x, meta = e["joint_positions"], [(k, v if isinstance(v, str) else json.dumps(v, sort_keys=True)) for k, v in e["episode_metadata"].items()]
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], type=pa.int32()), pa.array(x.ravel()))
+                cells |= {"structure": e["structure"], "joint_positions": pa.ListArray.from_arrays(pa.array([0, len(x)], type=pa.int32()), flat), "timestamps": e["timestamps"].tolist(), "episode_metadata": meta}
+            except (ValueError, KeyError, TypeError) as err:
+                cells = {"path": path, "error": str(err)}
+            yield pa.RecordBatch.from_arrays([v if isinstance(v := cells.get(f.name), pa.Array) else pa.array([v], type=f.type) for f in _EPISODE], schema=_EPISODE)
+
+
+_EPISODE = pa.schema([("path", pa.string()), ("structure", pa.string()), ("joint_positions", pa.list_(pa.list_(pa.float32()))), ("timestamps", pa.list_(pa.float64())), ("episode_metadata", pa.map_(pa.string(), pa.string())), ("error", pa.string())])
+
+
+class EpisodeSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "motion_episodes"
+
+    def schema(self) -> str:
+        return EPISODE
+
+    def reader(self, schema) -> _EpisodeReader:
+        return _EpisodeReader(dict(self.options))
+
+
 def read_episodes(spark: SparkSession, folder: str) -> DataFrame:
-    """A row an episode file (.json, .npz), with an error where it can't be read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.lower("path").rlike(r"\.(json|npz)$"))
+    """A row an episode file (.json, .npz), with an error where it can't be read. One file is in a worker's memory at a time."""
+    spark.dataSource.register(EpisodeSource)
+    return spark.read.format("motion_episodes").load(folder)
+
+
+def _matrix(runs: list[pa.Array]) -> np.ndarray:
+    """float32 [frames, joints] of runs of frames; what isn't rectangular is NumPy's to refuse."""
+    q = pa.concat_arrays(runs) if runs else pa.array([], pa.list_(pa.float32()))
+    width = pc.list_value_length(q)
+    if len(q) and not q.null_count and pc.min_max(width)["min"] == pc.min_max(width)["max"]:
+        return q.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(q), width[0].as_py())
+    return np.array(q.to_pylist(), dtype=np.float32)
+
+
+def each_episode(episodes: DataFrame, schema: pa.Schema, each: Callable[[dict, Callable[[], np.ndarray]], dict]) -> DataFrame:
+    """Applies ``each`` to every episode's other fields and a function that gives its matrix; its rows come back.
+
+    Episodes reach Python frame by frame: a batch is so many frames, not so many episodes, and one episode is in memory at a time
+    beside its batch. Results are sent on from FLUSH_BYTES on.
+    """
+    first = F.coalesce("_n", F.lit(0)) == 0
+    heads = ("path", "structure", "timestamps", "episode_metadata", "error")
+    parts = episodes.select(*heads, F.posexplode_outer("joint_positions").alias("_n", "_q"))
+    parts = parts.select(first.alias("_first"), F.col("_n").isNotNull().alias("_some"), *[F.when(first, F.col(c)).alias(c) for c in heads], "_q")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [("path", pa.string()), ("structure", pa.string()), ("joint_positions", pa.list_(pa.list_(pa.float32()))), ("timestamps", pa.list_(pa.float64())), ("episode_metadata", pa.map_(pa.string(), pa.string())), ("error", pa.string())]
+        head, held, rows, size = None, [], [], 0
+
+        def finish() -> int:
+            if head is None:
+                return 0
+            row = each(head, lambda: _matrix(held))
+            rows.append(row)
+            return 64 + sum(len(v) for v in row.values() if isinstance(v, (bytes, str)))
+
         for b in it:
-            rows = []
-            for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    e = parse_episode(path, raw)
-                    meta = [(k, v if isinstance(v, str) else json.dumps(v, sort_keys=True)) for k, v in e["episode_metadata"].items()]
-                    rows.append({"path": path, "structure": e["structure"], "joint_positions": e["joint_positions"].tolist(), "timestamps": e["timestamps"].tolist(), "episode_metadata": meta})
-                except (ValueError, KeyError, TypeError) as err:
-                    rows.append({"path": path, "error": str(err)})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
+            starts = np.flatnonzero(b.column("_first").to_numpy(zero_copy_only=False)).tolist()
+            for lo, hi in zip([0, *starts], [*starts, b.num_rows], strict=True):
+                if hi > lo and head["_some"]:
+                    held.append(b.column("_q").slice(lo, hi - lo))
+                if hi < b.num_rows:  # another episode begins
+                    size += finish()
+                    if size > FLUSH_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows, size = [], 0
+                    head, held = b.slice(hi, 1).select(["_some", *heads]).to_pylist()[0], []
+        finish()
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.select("path", "content").mapInArrow(run, EPISODE)
+    return parts.mapInArrow(run, ", ".join(f"{f.name} {_SQL_TYPES[f.type]}" for f in schema))
+
+
+_SQL_TYPES = {pa.string(): "string", pa.binary(): "binary", pa.int64(): "bigint", pa.float64(): "double"}
 
 
 def compress_episodes(episodes: DataFrame, keep: int = 4) -> DataFrame:
     """(path, content, raw_bytes, packet_bytes, ratio, sidecar, error) of every episode; the sidecar is JSON without a clock."""
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            rows = []
-            for e in b.to_pylist():
-                try:
-                    if e["error"]:
-                        raise ValueError(e["error"])
-                    x = np.array(e["joint_positions"], dtype=np.float32)
-                    blob = wire.encode(x, keep)
-                    side = {"structure": e["structure"], "timestamps": e["timestamps"], "episode_metadata": dict(e["episode_metadata"] or []), "packet_info": wire.describe(blob), "compression_ratio": wire.ratio(x, blob)}
-                    rows.append({"path": e["path"], "content": blob, "raw_bytes": x.nbytes, "packet_bytes": len(blob), "ratio": wire.ratio(x, blob), "sidecar": json.dumps(side, sort_keys=True)})
-                except ValueError as err:
-                    rows.append({"path": e["path"], "error": str(err)})
-            kinds = [("path", pa.string()), ("content", pa.binary()), ("raw_bytes", pa.int64()), ("packet_bytes", pa.int64()), ("ratio", pa.float64()), ("sidecar", pa.string()), ("error", pa.string())]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
-
-    return episodes.mapInArrow(run, "path string, content binary, raw_bytes bigint, packet_bytes bigint, ratio double, sidecar string, error string")
+    def each(e: dict, matrix: Callable[[], np.ndarray]) -> dict:
+        try:
+            if e["error"]:
+                raise ValueError(e["error"])
+            x = matrix()
+            blob = wire.encode(x, keep)
+            side = {"structure": e["structure"], "timestamps": e["timestamps"], "episode_metadata": dict(e["episode_metadata"] or []), "packet_info": wire.describe(blob), "compression_ratio": wire.ratio(x, blob)}
+            return {"path": e["path"], "content": blob, "raw_bytes": x.nbytes, "packet_bytes": len(blob), "ratio": wire.ratio(x, blob), "sidecar": json.dumps(side, sort_keys=True)}
+        except ValueError as err:
+            return {"path": e["path"], "error": str(err)}
+
+    kinds = [("path", pa.string()), ("content", pa.binary()), ("raw_bytes", pa.int64()), ("packet_bytes", pa.int64()), ("ratio", pa.float64()), ("sidecar", pa.string()), ("error", pa.string())]
+    return each_episode(episodes, pa.schema(kinds), each)
+
+
+def write_episodes(episodes: DataFrame, folder: str) -> None:
+    """One JSON file an episode, named by ``path``, in the structure that its row names. No file's text leaves the worker that makes it."""
+
+    def each(e: dict, matrix: Callable[[], np.ndarray]) -> dict:
+        body = {"joint_positions": matrix()}
+        body = {"observation": body} if e["structure"] == "observation" else body
+        text = dump_episode(body | {"timestamps": e["timestamps"], "episode_metadata": dict(e["episode_metadata"] or [])})
+        packets.put_file(*filesystem(folder), e["path"], text.encode())
+        return {"n": 1}
+
+    target, root = filesystem(folder)
+    target.create_dir(root, recursive=True)
+    each_episode(episodes, pa.schema([("n", pa.int64())]), each).agg(F.sum("n")).collect()
 
 
 def dump_episode(e: dict) -> str:

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -134,6 +135,14 @@ def verify(packets: DataFrame, key: str = "path") -> DataFrame:
     return out.withColumn("ok", F.col("error").isNull() & F.col("crc_ok"))
 
 
+def put_file(target: fs.FileSystem, folder: str, name: str, blob: bytes) -> None:
+    """Writes a file under a temporary name in its folder, then renames it: a second attempt of a task replaces the first one's."""
+    draft = f"{folder}/_{name}.{uuid.uuid4().hex}"
+    with target.open_output_stream(draft) as f:
+        f.write(blob)
+    target.move(draft, f"{folder}/{name}")
+
+
 def write_packets(packets: DataFrame, folder: str, name: str = "traj_id", suffix: str = ".packet") -> None:
     """One file a row, named by a column, on any filesystem that the folder's address names. Written under a temporary name, then renamed."""
 
@@ -141,11 +150,8 @@ def write_packets(packets: DataFrame, folder: str, name: str = "traj_id", suffix
         target, root = filesystem(folder)
         target.create_dir(root, recursive=True)
         for b in it:
-            for who, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                path, draft = f"{root}/{who}{suffix}", f"{root}/_{who}.{uuid.uuid4().hex}"
-                with target.open_output_stream(draft) as f:
-                    f.write(blob)
-                target.move(draft, path)
+            for who, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                put_file(target, root, f"{who}{suffix}", blob.as_py())
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], type=pa.int64())], names=["n"])
 
     packets.where("content is not null").select(F.col(name).cast("string"), F.col("content").cast("binary")).mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
