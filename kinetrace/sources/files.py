@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource
 
@@ -47,28 +48,82 @@ def _is_number(cell: str) -> bool:
     return True
 
 
+class _CsvReader(_Reader):
+    names = (".csv",)
+
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        for path, raw in self.contents(partition):
+            try:
+                x, error = parse_csv(raw.decode("utf-8")), None
+            except ValueError as e:
+                x, error = np.full((1, 1), np.nan), str(e)
+            n, j = x.shape
+            said = pa.nulls(n * j, pa.string()) if error is None else pa.repeat(pa.scalar(error), n * j)
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(path), n * j), pa.array(np.tile(np.arange(j, dtype=np.int32), n)), pa.array(np.repeat(np.arange(n), j)), pa.array(x.ravel()), said], names=["path", "joint", "frame", "x", "error"])
+
+
+class CsvSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "motion_csv"
+
+    def schema(self) -> str:
+        return "path string, joint int, frame bigint, x double, error string"
+
+    def reader(self, schema) -> _CsvReader:
+        return _CsvReader(dict(self.options))
+
+
 def read_csv(spark: SparkSession, folder: str) -> DataFrame:
     """(path, joint, frame, x, error): one trajectory a file, in the order of its lines."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(folder)
+    spark.dataSource.register(CsvSource)
+    return spark.read.format("motion_csv").load(folder)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    x, error = parse_csv(raw.decode("utf-8")), None
-                except ValueError as e:
-                    x, error = np.full((1, 1), np.nan), str(e)
-                n, j = x.shape
-                yield pa.RecordBatch.from_arrays([pa.array([path] * (n * j)), pa.array(np.tile(np.arange(j, dtype=np.int32), n)), pa.array(np.repeat(np.arange(n), j)), pa.array(x.ravel()), pa.array([error] * (n * j), type=pa.string())], names=["path", "joint", "frame", "x", "error"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, joint int, frame bigint, x double, error string")
+def _escaped(value: str | None) -> str:
+    """A value as the folder names of partitioned tables have it."""
+    if not value:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return "".join(f"%{ord(c):02X}" if c in "\"#%'*/:=?\\{[]^\x7f" or c < " " else c for c in value)
 
 
 def write_csv(wide: DataFrame, folder: str) -> None:
-    """One folder a trajectory (traj_id=..), joints as columns joint_0.., frames in order."""
+    """One folder a trajectory (traj_id=..), joints as columns joint_0.., frames in order; the folder has to be new.
+
+    Each worker writes the files of its trajectories itself: no commit moves every file once more on the driver.
+    """
     names = [c for c in wide.columns if c[0] == "x" and c[1:].isdigit()]
-    out = wide.repartition("traj_id").sortWithinPartitions("traj_id", "frame").select("traj_id", *[F.col(c).alias(f"joint_{c[1:]}") for c in names])
-    out.write.partitionBy("traj_id").csv(folder, header=True)
+    head = ",".join(f"joint_{c[1:]}" for c in names)
+    line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("" if len(names) > 1 else '""')) for c in names])
+    ordered = wide.select(F.col("traj_id"), "frame", line.alias("line")).withColumn("_n", F.row_number().over(Window.partitionBy("traj_id").orderBy("frame")))
+    target, root = filesystem(folder)
+    if target.get_file_info(root).type != fs.FileType.NotFound:
+        raise FileExistsError(f"{root} exists")
+    target.create_dir(root, recursive=True)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, root = filesystem(folder)
+        who, held, done = None, [], 0
+
+        def finish() -> int:
+            if not held:
+                return 0
+            at = f"{root}/traj_id={_escaped(who)}"
+            target.create_dir(at, recursive=True)
+            packets.put_file(target, at, "part-00000.csv", "\n".join([head, *held, ""]).encode())
+            return 1
+
+        for b in it:
+            first = np.flatnonzero(b.column("_n").to_numpy() == 1).tolist()
+            lines = b.column("line").to_pylist()
+            for lo, hi in zip([0, *first], [*first, b.num_rows], strict=True):
+                held += lines[lo:hi]
+                if hi < b.num_rows:  # another trajectory begins
+                    done += finish()
+                    who, held = b.column("traj_id")[hi].as_py(), []
+        yield pa.RecordBatch.from_arrays([pa.array([done + finish()], type=pa.int64())], names=["n"])
+
+    ordered.select(F.col("traj_id").cast("string").alias("traj_id"), "line", "_n").mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
 
 
 def parse_episode(name: str, raw: bytes) -> dict:
@@ -253,8 +308,6 @@ def dataset_rows(spark: SparkSession, root: str, field: str) -> DataFrame:
 
 def episode_frames(rows: DataFrame) -> DataFrame:
     """(traj_id, frame, values): the rows of each episode numbered in the dataset's order."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("episode_index").orderBy("file", "row")
     return rows.select(F.col("episode_index").alias("traj_id"), (F.row_number().over(w) - 1).cast("bigint").alias("frame"), "values")
 
