@@ -183,7 +183,7 @@ def _codecs() -> dict[str, tuple]:
     def boxed(kind: str) -> tuple:
         def pack(x: np.ndarray) -> bytes:
             channel = (1, "/samples", "float32", {})
-            return mcap.write(mcap.Content(schemas={1: ("samples", "", b"")}, channels={1: channel}, messages=[(1, i, i, i, row.tobytes()) for i, row in enumerate(x)]), kind)
+            return mcap.write(mcap.Content(schemas={1: ("samples", "", b"")}, channels={1: channel}), kind, (1, x))
 
         return pack, lambda b, s: np.frombuffer(b"".join(m[4] for m in mcap.read(b).messages), dtype=np.float32).reshape(s)
 
